@@ -173,8 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = written(texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, signature binary"), "minhash")
     usable = described.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    heads = usable.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    heads = heads.select("doc_id", "signature")
+    heads = usable.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
+    heads = written(heads.select("doc_id", "signature"), "heads")
     bands = heads.mapInArrow(_bands, "bucket long, doc_id long")
     ends = bands.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
     crowded = written(bands.join(ends, "bucket"), "buckets")

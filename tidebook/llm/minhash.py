@@ -20,8 +20,8 @@ _rng = np.random.default_rng(7)
 #: One universal hash for each minimum: the high 32 bits of a * x + b modulo 2**64, a odd.
 HASH_A = _rng.integers(0, 2**63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HASH_B = _rng.integers(0, 2**63, N_HASHES, dtype=np.uint64)
-#: Share of equal minima that a pair needs before its full sets are compared: 5 standard deviations under 0.75.
-SIGNATURE_LEAST = 0.56
+#: Share of equal minima that a pair needs before its full sets are compared: over 4 standard deviations under 0.75.
+SIGNATURE_LEAST = 0.58
 #: Partners of one pivot that are verified in one task; a pivot with more is dealt out by salt.
 PER_PIVOT = 2000
 #: Members of a bucket that are compared in one block.
@@ -101,18 +101,18 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, described: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct candidate pairs (u, v) whose signatures agree and whose full sets reach ``percent``.
 
     Every pair travels as one row with v's text to the place of its pivot u; a pivot with more than PER_PIVOT
     partners is dealt out by salt, so neither a pivot's partners nor its text are gathered or multiplied by them."""
-    sig = described.select(F.col("doc_id").alias("u"), F.col("signature").alias("sig_u"))
+    sig = crowd.select(F.col("doc_id").alias("u"), F.col("signature").alias("sig_u"))
     pairs = pairs.join(sig, "u").join(sig.select(F.col("u").alias("v"), F.col("sig_u").alias("sig_v")), "v")
     pairs = written(pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(_alike, "u long, v long").distinct(), "pairs")
     salts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PER_PIVOT).cast("int").alias("salts"))
     partners = pairs.join(salts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), F.col("v").alias("doc"))
     pivots = salts.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("u").alias("doc"))
-    rows = partners.union(pivots).join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc").select("u", "salt", "side", "doc", "text")
+    rows = partners.union(pivots).join(crowd.select(F.col("doc_id").alias("doc"), "text"), "doc").select("u", "salt", "side", "doc", "text")
     spark = pairs.sparkSession
     dealt = rows.repartition(partitions(spark), "u", "salt").sortWithinPartitions("u", "salt", "side")
     return written(dealt.mapInArrow(_confirm(percent), "u long, v long"), "links")
@@ -148,6 +148,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rows)
 
 
+def _placed(crowded: DataFrame, parts: DataFrame) -> DataFrame:
+    now = crowded.select("bucket", "doc_id", "members").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return now.withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -156,11 +161,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass over the texts gives each document its set size, a 128-bit key of the set and 128 universal-hash
        minima. Documents with equal sets form one class; only the smallest doc_id of a class goes on.
-    2. 32 bands of 4 minima give buckets; a pair at 0.75 shares none with probability 5e-6. Each bucket links its
-       members to its smallest and its largest one, so pairs grow with members, not with their square.
+    2. 32 bands of 4 minima give buckets; a pair at 0.75 shares none with probability 5e-6. Each bucket pairs its
+       members with its smallest one, so pairs grow with members, not with their square.
     3. Pairs pass a signature check, then the full sets, recomputed from the texts, decide.
-    4. Components come from alternating large-star and small-star. Buckets that still hold several components
-       compare all their members across components, in blocks of 1024 against 1024: no link is lost to the stars.
+    4. Components come from alternating large-star and small-star. Buckets that still hold several components pair
+       the members outside a hashed pivot's component with it, twice; the few that are split even then compare all
+       their members across components, in blocks of 1024 against 1024: no link is lost to the stars.
 
     Defined cases: null or wordless texts have n_shingles 0 and link with nothing; a null doc_id gives component_id
     null and kept true; rows that repeat a doc_id each return the
@@ -176,21 +182,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = usable.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
     heads = written(heads.select("doc_id", "signature"), "heads")
     bands = heads.mapInArrow(_bands, "bucket long, doc_id long")
-    ends = bands.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
+    ends = bands.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("bucket", "lo", "members")
     crowded = written(bands.join(ends, "bucket"), "buckets")
-    stars = crowded.select(F.col("lo").alias("u"), F.col("doc_id").alias("v")).union(crowded.select(F.col("hi"), "doc_id")).where("u <> v").distinct()
-    texts_of = texts.where("doc_id is not null")
-    links = confirmed(stars, heads, texts_of, percent)
-    parts = written(connected_components(links), "components")
+    # whoever shares no bucket needs neither signature nor text any more; the filter lets Spark's own runtime filter,
+    # bounded in size, drop those rows before they are shuffled
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    company = written(crowded.groupBy("doc_id").agg(F.max("members").alias("members")), "company").where("members > 1").select("doc_id")
+    crowd = written(heads.join(company, "doc_id").join(texts.where("doc_id is not null"), "doc_id"), "crowd")
 
-    placed = crowded.select("bucket", "doc_id", "members").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    links = confirmed(crowded.select(F.col("lo").alias("u"), F.col("doc_id").alias("v")).where("u <> v").distinct(), crowd, percent)
+    parts = written(connected_components(links), "components")
+    for seed in range(2):
+        placed = _placed(crowded, parts)
+        pivots = placed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("bucket", "doc_id", F.lit(seed))).alias("pivot"))
+        tries = placed.join(pivots, "bucket").where("component <> pivot.component").select(F.col("pivot.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
+        found = confirmed(tries, crowd, percent)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        parts = written(connected_components(links), "components")
+
+    placed = _placed(crowded, parts)
     split = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
     rest = placed.join(split, "bucket").withColumn("n_blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "component")
-    rest = rest.join(heads, "doc_id").repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    rest = rest.join(crowd.select("doc_id", "signature"), "doc_id").repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
     more = rest.select("bucket", "one", "two", "doc_id", "component", "block", "signature").mapInArrow(_across, "u long, v long").distinct()
-    late = confirmed(more, heads, texts_of, percent)
+    late = confirmed(more, crowd, percent)
     if not late.isEmpty():
         parts = written(connected_components(links.union(late)), "components")
 

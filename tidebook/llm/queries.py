@@ -17,8 +17,43 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.llm.sentencepieces import encoded
+    from tidebook.llm.vocab import file_path
+
+    return encoded(_table(spark, sf_dir, "documents"), file_path("piece_bpe_32k.model"), digests=True)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.llm.packing import packed
+    from tidebook.llm.vocab import file_path
+
+    return packed(_table(spark, sf_dir, "documents"), file_path("word_bpe_49k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.llm.token_files import token_file_round_trip
+    from tidebook.llm.vocab import file_path
+
+    return token_file_round_trip(_table(spark, sf_dir, "documents"), file_path("byte_bpe_50k.json"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.llm.token_counts import token_counts
+    from tidebook.llm.vocab import file_path
+
+    return token_counts(_table(spark, sf_dir, "documents"), file_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op2_minhash_near_dedup,
+        op5_sentencepiece,
+        op8_best_fit_packing,
+        op9_token_files,
+        op10_token_counts,
+    )
 }
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {}

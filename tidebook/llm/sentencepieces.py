@@ -93,6 +93,7 @@ class PieceTransducer:
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.letters = {c for p in model.normal for c in p}
+        self.foreign = re.compile("([^" + re.escape("".join(sorted(self.letters))) + "])")
         if model.kind == "bpe":
             rank = {p: -model.scores[i] for p, i in model.normal.items()}
             # a letter that is no piece itself may still be merged; alone it falls back
@@ -132,7 +133,7 @@ class PieceTransducer:
         if self.model.kind == "unigram":
             return self._tropical(word)
         out: list[int] = []
-        for part in re.split("([^" + re.escape("".join(self.letters)) + "])", word) if not self.letters.issuperset(word) else [word]:
+        for part in self.foreign.split(word) if not self.letters.issuperset(word) else [word]:
             if part and part[0] not in self.letters:
                 out += self.fallback(part)
             else:

@@ -4,7 +4,7 @@ A sequence of tokens is the encoding of its text exactly when each token encodes
 encodes its own text, so the last token of a prefix's encoding follows from the last tokens of shorter prefixes.
 A state holds, for every place where a token may have begun and still go on, the node of the vocabulary's trie,
 the token that ends at that place and its count against the present one. States are finitely many; transitions
-are built when first met and kept. Each transition carries the change of the token count and the last token.
+are built when first met and kept. Each transition carries the change of the token count.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from collections.abc import Hashable, Sequence
 from functools import cache
 
-#: States kept before the automaton starts anew, as lazily built automata do.
-MOST_STATES = 120_000
+#: States that are kept; texts that leave them are followed state by state.
+MOST_STATES = 100_000
 
 
 class PairEncoder:
@@ -105,9 +105,6 @@ class Transducer:
             self.ends[node] = i
         self._fits: dict[tuple[int, int], bool] = {}
         self._sides: dict[int, tuple[list, list] | None] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.states: list[tuple] = [((0, -1, 0),)]
         self.number = {self.states[0]: 0}
         self.moves: list[dict] = [{}]
@@ -128,11 +125,11 @@ class Transducer:
             self._sides[token] = self.encoder.sides([text[i : i + 1] for i in range(len(text))])
         return self._sides[token]
 
-    def build(self, state: int, c) -> tuple[int, int, int] | None:
-        """The transition from a state on a symbol: next state, change of the count, last token. None: no token."""
+    def step(self, live_now: tuple, c) -> tuple[tuple, int, int]:
+        """The state after a symbol, the change of the token count and the last token."""
         last = None
         live = []
-        for node, before, count in self.states[state]:
+        for node, before, count in live_now:
             node = self.children[node].get(c)
             if node is None:
                 continue
@@ -142,40 +139,73 @@ class Transducer:
             if self.children[node]:
                 live.append((node, before, count))
         if last is None:
-            return None
+            raise ValueError(f"no token ends with symbol {c!r}")
         token, change = last
-        key = (*((n, b, k - change) for n, b, k in live), (0, token, 0))
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        move = self.moves[state][c] = (to, change, token)
-        return move
+        return (*((n, b, k - change) for n, b, k in live), (0, token, 0)), change, token
 
     def count(self, text: Sequence) -> int:
-        """Tokens in the encoding of one pre-token; the text's symbols must all be pieces."""
-        if len(self.states) > MOST_STATES:
-            self._clear()
+        """Tokens in the encoding of one pre-token; every symbol of the text must be a piece.
+
+        Once MOST_STATES states are built no more are kept: the text is followed through states made for it alone
+        until it comes to a kept one again."""
         state, n, moves = 0, 0, self.moves
-        for c in text:
-            move = moves[state].get(c) or self.build(state, c)
+        for i, c in enumerate(text):
+            move = moves[state].get(c)
+            if move is None:
+                live, change, _ = self.step(self.states[state], c)
+                to = self.number.get(live)
+                if to is None:
+                    if len(self.states) >= MOST_STATES:
+                        return n + change + self._loose(live, text[i + 1 :])
+                    to = self.number[live] = len(self.states)
+                    self.states.append(live)
+                    moves.append({})
+                move = moves[state][c] = (to, change)
             state = move[0]
             n += move[1]
         return n
 
+    def _loose(self, live: tuple, text: Sequence) -> int:
+        n = 0
+        for i, c in enumerate(text):
+            live, change, _ = self.step(live, c)
+            n += change
+            state = self.number.get(live)
+            if state is not None:
+                for j in range(i + 1, len(text)):
+                    move = self.moves[state].get(text[j])
+                    if move is None:
+                        return n + self._loose(self.states[state], text[j:])
+                    state = move[0]
+                    n += move[1]
+                return n
+        return n
+
     def encode(self, text: Sequence) -> list[int]:
-        """The ids of one pre-token: last tokens going forward, then the path read backward."""
-        if len(self.states) > MOST_STATES:
-            self._clear()
-        state, last, moves = 0, [], self.moves
-        for c in text:
-            move = moves[state].get(c) or self.build(state, c)
-            state = move[0]
-            last.append(move[2])
-        out, i, length = [], len(last), self.length
+        """The ids of one pre-token: the one path of finite weight through the text composed with the pieces, read
+        backward from the last tokens of its prefixes."""
+        size = len(text)
+        last = [-1] * (size + 1)
+        children, ends, known, fits = self.children, self.ends, self._fits, self.fits
+        for i in range(size):
+            before = last[i]
+            if i and before < 0:
+                continue
+            node = 0
+            for j in range(i, size):
+                node = children[node].get(text[j])
+                if node is None:
+                    break
+                token = ends[node]
+                if token >= 0 and last[j + 1] < 0:
+                    ok = known.get((before, token))
+                    if ok if ok is not None else fits(before, token):
+                        last[j + 1] = token
+        out, i, length = [], size, self.length
         while i:
-            token = last[i - 1]
+            token = last[i]
+            if token < 0:
+                raise ValueError("no piece ends the text")
             out.append(token)
             i -= length[token]
         out.reverse()

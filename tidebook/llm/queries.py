@@ -11,6 +11,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.llm.chat import formatted
+
+    extra = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], "conv_id long, turn long, role string, text string")
+    return formatted(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more), digests=True)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidebook.llm.minhash import near_duplicates
 
@@ -30,6 +38,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents"), file_path("piece_bpe_32k.model"), digests=True)
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.llm.matroska import media_round_trip
+
+    return media_round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidebook.llm.packing import packed
     from tidebook.llm.vocab import file_path
@@ -54,9 +68,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_chat_formatting,
         op2_minhash_near_dedup,
         op4_quality_classifier,
         op5_sentencepiece,
+        op7_matroska,
         op8_best_fit_packing,
         op9_token_files,
         op10_token_counts,

@@ -24,8 +24,8 @@ HASH_B = _rng.integers(0, 2**63, N_HASHES, dtype=np.uint64)
 SIGNATURE_LEAST = 0.58
 #: Partners of one pivot that are verified in one task; a pivot with more is dealt out by salt.
 PER_PIVOT = 2000
-#: Members of a bucket that are compared in one block.
-BLOCK = 1024
+#: Documents of a block, two of which are compared at once, and shingles that the comparison holds at once.
+BLOCK, COLUMNS = 256, 16384
 
 
 def signatures(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -118,39 +118,80 @@ def confirmed(pairs: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
     return written(dealt.mapInArrow(_confirm(percent), "u long, v long"), "links")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature-alike pairs of different components within each (bucket, block pair); rows come sorted by it."""
-
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        ids = np.array([r[1] for r in rows], np.int64)
-        comp = np.array([r[2] for r in rows], np.int64)
-        block = np.array([r[3] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(-1, N_HASHES)
-        one, two = rows[0][0][1:]
-        us, vs = [], []
-        left = np.flatnonzero(block == one)
-        right = left if one == two else np.flatnonzero(block == two)
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((right > i) if one == two else True)]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= SIGNATURE_LEAST] if len(j) else j
-            us.append(np.minimum(ids[j], ids[i]))
-            vs.append(np.maximum(ids[j], ids[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us) if us else np.zeros(0, np.int64)), pa.array(np.concatenate(vs) if vs else np.zeros(0, np.int64))], ["u", "v"])
-
-    rows: list[tuple] = []
-    for batch in batches:
-        for b, i, j, doc, comp, block, sig in zip(*(batch.column(c).to_pylist() for c in ("bucket", "one", "two", "doc_id", "component", "block", "signature")), strict=True):
-            if rows and rows[0][0] != (b, i, j):
-                yield done(rows)
-                rows = []
-            rows.append(((b, i, j), doc, comp, block, sig))
-    if rows:
-        yield done(rows)
+def _join_blocks(docs: list[int], parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different components: all pairs' exact intersections are one matrix product over
+    the shingles that at least two of the sets hold; links that join nothing new are left out."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    count = np.diff(np.append(start, len(every)))
+    column = np.repeat(np.arange(len(start)), count)
+    shared = np.repeat(count > 1, count)
+    _, column = np.unique(column[shared], return_inverse=True)
+    owner = owner[shared]
+    width = int(column.max()) + 1 if len(column) else 0
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, width, COLUMNS):
+        own = (column >= a) & (column < a + COLUMNS)
+        held = np.zeros((len(sets), min(COLUMNS, width - a)), np.float32)
+        held[owner[own], column[own] - a] = 1
+        both += held @ held.T
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    home = np.array(parts)
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1) & (home[:, None] != home[None, :])), strict=True):
+        if home[i] != home[j]:
+            out.append((docs[i], docs[j]))
+            home[home == home[j]] = home[i]
+    return out
+
+
+def _across(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, docs, parts, sets = None, [], [], []
+        links: list[tuple[int, int]] = []
+        for batch in batches:
+            for part, buf, off in blocks(batch, "text"):
+                found, at = shingle_sets(buf, off)
+                for i, (g, one, two, doc, comp) in enumerate(zip(*(part.column(c).to_pylist() for c in ("area", "one", "two", "doc_id", "component")), strict=True)):
+                    if key != (g, one, two):
+                        links += _join_blocks(docs, parts, sets, percent) if docs else []
+                        key, docs, parts, sets = (g, one, two), [], [], []
+                    docs.append(doc)
+                    parts.append(comp)
+                    sets.append(found[at[i] : at[i + 1]].copy())
+        links += _join_blocks(docs, parts, sets, percent) if docs else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
+    return run
 
-def _placed(crowded: DataFrame, parts: DataFrame) -> DataFrame:
-    now = crowded.select("bucket", "doc_id", "members").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return now.withColumn("component", F.coalesce("component", "doc_id"))
+
+def _across_components(pairs: DataFrame, parts: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """Links that the pivots' pairs missed. An area is a connected piece of the unverified pairs, so all members of
+    any bucket lie in one area. In areas of several components every two documents of different components are
+    compared, blockwise: large components have blocks of their own, small ones share blocks, and two blocks meet
+    only if they hold different components. So the work is the outsiders' against the area, not the area squared."""
+    spark = pairs.sparkSession
+    area = connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("area"))
+    placed = area.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = written(placed, "areas")
+    mixed = placed.groupBy("area").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("area_size")).where("a < b").select("area", "area_size")
+    sizes = placed.groupBy("area", "component").agg(F.count(F.lit(1)).alias("size"))
+    placed = placed.join(sizes, ["area", "component"]).join(mixed, "area")
+    own = F.col("size") > BLOCK // 4
+    placed = placed.select("area", "doc_id", "component", F.when(own, F.col("component")).alias("home"), F.when(own, F.ceil(F.col("size") / BLOCK)).otherwise(F.ceil(F.col("area_size") / BLOCK)).cast("int").alias("n"))
+    placed = written(placed.select("area", "doc_id", "component", "home", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("n"))).alias("block")), "blocks")
+    held = placed.select("area", "block", "home").distinct()
+    x, y = held.alias("x"), held.alias("y")
+    meet = x.join(y, F.col("x.area") == F.col("y.area")).where("x.block <= y.block and (x.home is null or y.home is null or x.home <> y.home)")
+    meet = meet.select(F.col("x.area").alias("area"), F.col("x.block").alias("one"), F.col("y.block").alias("two"))
+    sides = meet.select("area", "one", "two", F.col("one").alias("block")).union(meet.where("one <> two").select("area", "one", "two", F.col("two").alias("block")))
+    rows = placed.join(crowd.select("doc_id", "text"), "doc_id").join(sides, ["area", "block"])
+    rows = rows.select("area", "one", "two", "doc_id", "component", "text").repartition(partitions(spark), "area", "one", "two").sortWithinPartitions("area", "one", "two", "doc_id")
+    return written(rows.mapInArrow(_across(percent), "u long, v long"), "late")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -162,11 +203,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. One pass over the texts gives each document its set size, a 128-bit key of the set and 128 universal-hash
        minima. Documents with equal sets form one class; only the smallest doc_id of a class goes on.
     2. 32 bands of 4 minima give buckets; a pair at 0.75 shares none with probability 5e-6. Each bucket pairs its
-       members with its smallest one, so pairs grow with members, not with their square.
+       members with a hashed pivot, another one in each band, so pairs grow with members, not with their square.
     3. Pairs pass a signature check, then the full sets, recomputed from the texts, decide.
-    4. Components come from alternating large-star and small-star. Buckets that still hold several components pair
-       the members outside a hashed pivot's component with it, twice; the few that are split even then compare all
-       their members across components, in blocks of 1024 against 1024: no link is lost to the stars.
+    4. Components come from alternating large-star and small-star. Where buckets still hold several components, all
+       documents of different components are compared blockwise on their full sets: no link is lost to the pivots.
 
     Defined cases: null or wordless texts have n_shingles 0 and link with nothing; a null doc_id gives component_id
     null and kept true; rows that repeat a doc_id each return the
@@ -182,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = usable.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
     heads = written(heads.select("doc_id", "signature"), "heads")
     bands = heads.mapInArrow(_bands, "bucket long, doc_id long")
-    ends = bands.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("bucket", "lo", "members")
+    ends = bands.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("bucket", "members")
     crowded = written(bands.join(ends, "bucket"), "buckets")
     # whoever shares no bucket needs neither signature nor text any more; the filter lets Spark's own runtime filter,
     # bounded in size, drop those rows before they are shuffled
@@ -190,26 +230,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     company = written(crowded.groupBy("doc_id").agg(F.max("members").alias("members")), "company").where("members > 1").select("doc_id")
     crowd = written(heads.join(company, "doc_id").join(texts.where("doc_id is not null"), "doc_id"), "crowd")
 
-    links = confirmed(crowded.select(F.col("lo").alias("u"), F.col("doc_id").alias("v")).where("u <> v").distinct(), crowd, percent)
+    pivots = crowded.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("u"))
+    pairs = written(crowded.join(pivots, "bucket").select("u", F.col("doc_id").alias("v")).where("u <> v").distinct(), "stars")
+    links = confirmed(pairs, crowd, percent)
     parts = written(connected_components(links), "components")
-    for seed in range(2):
-        placed = _placed(crowded, parts)
-        pivots = placed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("bucket", "doc_id", F.lit(seed))).alias("pivot"))
-        tries = placed.join(pivots, "bucket").where("component <> pivot.component").select(F.col("pivot.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
-        found = confirmed(tries, crowd, percent)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        parts = written(connected_components(links), "components")
-
-    placed = _placed(crowded, parts)
-    split = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = placed.join(split, "bucket").withColumn("n_blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "component")
-    rest = rest.join(crowd.select("doc_id", "signature"), "doc_id").repartition(partitions(spark), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    more = rest.select("bucket", "one", "two", "doc_id", "component", "block", "signature").mapInArrow(_across, "u long, v long").distinct()
-    late = confirmed(more, crowd, percent)
+    late = _across_components(pairs, parts, crowd, percent)
     if not late.isEmpty():
         parts = written(connected_components(links.union(late)), "components")
 

@@ -38,6 +38,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents"), file_path("piece_bpe_32k.model"), digests=True)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.llm.fingerprints import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidebook.llm.matroska import media_round_trip
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_minhash_near_dedup,
         op4_quality_classifier,
         op5_sentencepiece,
+        op6_fingerprints,
         op7_matroska,
         op8_best_fit_packing,
         op9_token_files,

@@ -152,15 +152,35 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _learnt(docs: DataFrame, labels: DataFrame, label_col: str) -> np.ndarray:
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    return trained(id_text(docs), known.where(~held_out()))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``; labels of held-out ids never train.
 
     Only the text enters a score. Null and empty texts score by the intercept; a null id is never held out; repeated
     ids each score; of several labels of one id the least counts, null labels don't; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    texts = id_text(docs, id_col, text_col)
-    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    weights = trained(texts, known.where(~held_out()))
-    scored = texts.mapInArrow(_score(weights), "doc_id long, score double")
+    scored = id_text(docs).mapInArrow(_score(_learnt(docs, labels, label_col)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _accept(weights: np.ndarray, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, off in blocks(batch, "text"):
+                index, at = features(buf, off)
+                s = _sums(weights, index, at) + weights[-1]
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))) >= threshold))
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any other columns, as they are) that ``quality_scores`` predicts as 1.
+    One narrow pass: no join and no shuffle of texts."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_accept(_learnt(docs, labels, label_col), threshold), docs.schema)

@@ -25,6 +25,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.llm.suffix_dedup import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidebook.llm.quality import quality_scores
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_formatting,
         op2_minhash_near_dedup,
+        op3_suffix_array_dedup,
         op4_quality_classifier,
         op5_sentencepiece,
         op6_fingerprints,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.kernels import blocks
 from tidebook.llm.runtime import id_text, small_batches, written
-from tidebook.llm.vocab import word_memory
+from tidebook.llm.vocab import vocabulary
 
 #: Partitions whose underfull bins meet in one group of the next round.
 FAN_IN = 8
@@ -59,7 +59,7 @@ SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 
 def _local(path: str, end_id: int, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = word_memory(path)
+        memory = vocabulary(path)
         end = np.array([end_id], np.uint32).tobytes()
         docs, pieces, crcs, lengths = [], [], [], []
         for batch in batches:

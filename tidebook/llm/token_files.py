@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.kernels import blocks
 from tidebook.llm.runtime import id_text, new_path, partitions, small_batches
-from tidebook.llm.vocab import word_memory
+from tidebook.llm.vocab import vocabulary
 
 #: Documents whose rows are read back at once.
 READ_DOCS = 2000
@@ -34,7 +34,7 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _writer(path: str, folder: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = word_memory(path)
+        memory = vocabulary(path)
         width = np.uint16 if max(memory.library.get_vocab_size(), end_id + 1) <= 65536 else np.uint32
         n = TaskContext.get().partitionId()
         fs, base = _store(folder)

@@ -1,23 +1,33 @@
-"""Encoding whole texts with the tokenizers library, with memory of the words already encoded.
+"""Encoding whole texts to the ids of the tokenizers library, by the merges of a vocabulary file.
 
-A text is cut where the library's own pre-tokenizer must cut it, each distinct word is encoded once by the
-library, and a text's ids are its words' ids joined. Texts in which white space is not single spaces between words
-and single line ends between lines go to the library whole, where the cuts would not be safe.
+The library defines the ids. Plain texts (Latin letters, ASCII, single line ends and spaces as white space) are cut by
+the file's own pattern and merged by the rank engine of tiktoken, which is compiled from the same file's merges and
+several times faster; all other texts, and texts with special strings, go to the library itself, as do whole files
+of a form that isn't known here. The first plain text of every call is encoded both ways: should they ever differ, the
+worker uses the library from then on and encodes the call anew.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from functools import cache
 
 import numpy as np
+import regex
+
+from tidebook.llm.transducer import byte_alphabet
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words in one generation of a worker's memory; two generations are kept.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
+#: Code points whose classes and lower case are the same everywhere and which need no normalisation.
+STRANGE = re.compile("[^\n -~¡-įı-ɏ]")
+#: A byte that no UTF-8 holds stands for the end of a word.
+WORD_END = b"\xff"
 
 
 def units(text: str) -> list[str] | None:
@@ -29,7 +39,7 @@ def units(text: str) -> list[str] | None:
     return text.replace("\n", " \n").split(" ") if words else []
 
 
-class WordMemory:
+class Vocabulary:
     """ids(texts): the little-endian unsigned 32-bit ids of each text, as ``tokenizer.encode`` gives them."""
 
     def __init__(self, path: str):
@@ -38,92 +48,84 @@ class WordMemory:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
-        pre, normal = shape.get("pre_tokenizer") or {}, shape.get("normalizer") or {}
-        kinds = [p.get("type") for p in pre.get("pretokenizers", [pre])]
-        collapses = any(n.get("type") == "Replace" and n.get("content") == " " for n in normal.get("normalizers", [normal]))
-        #: byte-level BPE: a space belongs to the word after it
-        self.spaced = kinds == ["ByteLevel"] and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not normal
-        #: white space only separates
-        self.dropped = collapses and kinds == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("behavior") == "Removed" and pre["pretokenizers"][0].get("invert") is True and not pre["pretokenizers"][1].get("use_regex") and not pre["pretokenizers"][1].get("add_prefix_space")
-        plain = all(not t[k] for t in shape.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")) and not any(c.isspace() for t in shape.get("added_tokens", []) for c in t["content"])
-        self.spaced &= plain
-        self.dropped &= plain
-        one = lambda s: self.library.encode(s, add_special_tokens=False).ids
-        ends = one(" a\n b")
-        self.spaced &= len(ends) == 3
-        self.line_end = ends[1] if self.spaced else -1
-        marks = [(one(c)[0], f" {c} ") for c in "•§¶©" if len(one(c)) == 1 and one(f"a {c} b") == one("a") + one(c) + one("b")]
-        self.dropped &= bool(marks)
-        self.mark = marks[0] if marks else (-1, "")
-        self.first: list[dict[str, bytes]] = [{}, {}]
-        self.later: list[dict[str, bytes]] = [{}, {}]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        pre, model, normal = shape.get("pre_tokenizer") or {}, shape["model"], shape.get("normalizer") or {}
+        self.special = sorted(t["content"] for t in shape.get("added_tokens", []))
+        steps = pre.get("pretokenizers", [pre])
+        self.spaced = [p.get("type") for p in steps] == ["ByteLevel"] and bool(pre.get("use_regex")) and not normal and not pre.get("add_prefix_space")
+        changes = [n.get("type") for n in normal.get("normalizers", [])]
+        self.worded = [p.get("type") for p in steps] == ["Split", "ByteLevel"] and changes == ["NFC", "Replace", "Lowercase"] and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space") and model.get("end_of_word_suffix") == "</w>"
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix"))
+        plain = plain and (self.spaced and not model.get("end_of_word_suffix") or self.worded)
+        self.engine = self._engine(model, steps) if plain else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _engine(self, model: dict, steps: list[dict]):
+        import tiktoken
+
+        to_byte, suffix = byte_alphabet(), model.get("end_of_word_suffix") or ""
+
+        def raw(piece: str) -> bytes:
+            ended = bool(suffix) and piece.endswith(suffix)
+            return bytes(to_byte[c] for c in (piece[: -len(suffix)] if ended else piece)) + (WORD_END if ended else b"")
+
+        ids = {raw(p): i for p, i in model["vocab"].items() if p not in self.special}
+        order = [bytes([b]) for b in range(256)] + ([bytes([b]) + WORD_END for b in range(255)] if suffix else [])
+        order += [raw(a) + raw(b) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+        ranks = {p: r for r, p in enumerate(dict.fromkeys(order))}
+        self.id_of = np.array([ids.get(p, 0) for p in ranks], np.uint32)
+        if self.worded:
+            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+        # Fixed value: the byte-level pre-tokenizer's pattern
+        cut = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("own", pat_str=cut, mergeable_ranks=ranks, special_tokens={})
+
+    def _by_library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Many words in one call, told apart by a mark that the library always gives the same single id: a line end
-        for spaced words, else a symbol that none of the words holds. Odd words are encoded one by one."""
+    def _word(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.id_of[self.engine._core_bpe.encode_single_piece(word.encode() + WORD_END)].tobytes()
+        if len(word) <= 64:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+        return ids
+
+    def _by_engine(self, text: str) -> bytes:
         if self.spaced:
-            mark, joint = self.line_end, "\n"
-            odd = [i for i, w in enumerate(words) if w[0] != " " or "\n" in w or len(w.split()) != 1 or w != " " + w.split()[0]]
-        else:
-            mark, joint = self.mark
-            odd = [i for i, w in enumerate(words) if not w or self.mark[1].strip() in w or len(w.split()) != 1 or not w.isalnum() and not w.isascii()]
-        strange = set(odd)
-        usual = [w for i, w in enumerate(words) if i not in strange]
-        out: list[bytes] = [b""] * len(words)
-        if usual:
-            ids = np.array(self.library.encode(joint.join(usual), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == mark)
-            if len(cut) != len(usual) - 1:
-                return self._encode(words)
-            raw, at = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
-            to = [*(4 * cut).tolist(), 4 * len(ids)]
-            each = iter(zip(at, to, strict=True))
-            for i in range(len(words)):
-                if i not in strange:
-                    a, b = next(each)
-                    out[i] = raw[a:b]
-        for i, x in zip(odd, self._encode([words[i] for i in odd]), strict=True):
-            out[i] = x
-        return out
-
-    def _learn(self, memory: list[dict[str, bytes]], words: set[str], spaced: bool) -> dict[str, bytes]:
-        """The younger of two generations of words, with all of ``words``; a full one becomes the older."""
-        young, old = memory
-        new = words.difference(young)
-        if len(young) + len(new) > REMEMBERED:
-            old, young, new = young, {}, words
-            memory[:] = [young, old]
-        known = new.intersection(old)
-        young.update((w, old[w]) for w in known)
-        left = list(new.difference(known))
-        for a in range(0, len(left), 5000):
-            part = left[a : a + 5000]
-            young.update(zip(part, self._encode_words([w if w[:1] == "\n" else " " + w for w in part] if spaced else part), strict=True))
-        return young
+            return self.id_of[self.engine.encode_ordinary(text)].tobytes() if text else b""
+        known, word = self.young, self._word
+        out = []
+        for w in self.pattern.findall(text.lower()):
+            ids = known.get(w)
+            if ids is None:
+                ids = word(w)
+                known = self.young
+            out.append(ids)
+        return b"".join(out)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if self.dropped:
-            cut = [t.replace("\n", " ").split(" ") for t in texts]
-            get = self._learn(self.first, set().union(*cut), False).__getitem__
-            return [b"".join(map(get, w)) for w in cut]
-        if not self.spaced:
-            return self._encode(texts)
-        cut = [units(t) for t in texts]
-        regular = [c for c in cut if c]
-        head = self._learn(self.first, {c[0] for c in regular}, False).__getitem__
-        tail = self._learn(self.later, set().union(*(c[1:] for c in regular)), True).__getitem__
-        odd = [i for i, c in enumerate(cut) if c is None]
-        whole = dict(zip(odd, self._encode([texts[i] for i in odd]), strict=True))
-        return [whole[i] if c is None else head(c[0]) + b"".join(map(tail, c[1:])) if c else b"" for i, c in enumerate(cut)]
+        if self.engine is None:
+            return self._by_library(texts)
+        plain = [not STRANGE.search(t) and not any(s in t for s in self.special) for t in texts]
+        out = [self._by_engine(t) if p else b"" for t, p in zip(texts, plain, strict=True)]
+        rest = [i for i, p in enumerate(plain) if not p]
+        probe = plain.index(True) if any(plain) else None
+        found = self._by_library([texts[i] for i in rest] + ([texts[probe]] if probe is not None else []))
+        if probe is not None and found[-1] != out[probe]:
+            self.engine = None
+            return self._by_library(texts)
+        for i, x in zip(rest, found, strict=False):
+            out[i] = x
+        return out
 
 
 @cache
-def word_memory(path: str) -> WordMemory:
-    """One memory for each vocabulary file and Python worker."""
-    return WordMemory(path)
+def vocabulary(path: str) -> Vocabulary:
+    """One vocabulary for each file and Python worker."""
+    return Vocabulary(path)
 
 
 def file_path(name: str) -> str:

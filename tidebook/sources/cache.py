@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +41,21 @@ def build_cache(spark: SparkSession, days: Iterable[str], build: Callable[[str],
         if rebuild or iso not in cached_days(spark, path):
             done += write_days(build(day), path, rebuild=True)
     return done
+
+
+_own_dir: str | None = None
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several plans read, in the folder the cluster names in ``spark.checkpoint.dir`` (a folder of
+    our own only where it is unset), and read it back: later plans are short and survive lost executors."""
+    global _own_dir
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir
+    if folder is None:
+        folder = _own_dir = "file://" + tempfile.mkdtemp(prefix="tidebook-")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,11 +12,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from functools import cache
 
 import numpy as np
-import regex
 
 from tidebook.llm.transducer import byte_alphabet
 
@@ -26,6 +26,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 REMEMBERED = 200_000
 #: Code points whose classes and lower case are the same everywhere and which need no normalisation.
 STRANGE = re.compile("[^\n -~¡-įı-ɏ]")
+#: Fixed value: the word pattern of files that drop white space, the only one compiled here.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A byte that no UTF-8 holds stands for the end of a word.
 WORD_END = b"\xff"
 
@@ -39,6 +41,13 @@ def units(text: str) -> list[str] | None:
     return text.replace("\n", " \n").split(" ") if words else []
 
 
+def plain_words() -> re.Pattern:
+    """The word pattern over plain texts, with the letters and numbers among plain code points listed."""
+    plain = [chr(c) for c in range(0x250) if not STRANGE.match(chr(c))]
+    letters, numbers = (re.escape("".join(c for c in plain if unicodedata.category(c)[0] == k)) for k in "LN")
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^ \n{letters}{numbers}]+")
+
+
 class Vocabulary:
     """ids(texts): the little-endian unsigned 32-bit ids of each text, as ``tokenizer.encode`` gives them."""
 
@@ -53,7 +62,7 @@ class Vocabulary:
         steps = pre.get("pretokenizers", [pre])
         self.spaced = [p.get("type") for p in steps] == ["ByteLevel"] and bool(pre.get("use_regex")) and not normal and not pre.get("add_prefix_space")
         changes = [n.get("type") for n in normal.get("normalizers", [])]
-        self.worded = [p.get("type") for p in steps] == ["Split", "ByteLevel"] and changes == ["NFC", "Replace", "Lowercase"] and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space") and model.get("end_of_word_suffix") == "</w>"
+        self.worded = [p.get("type") for p in steps] == ["Split", "ByteLevel"] and changes == ["NFC", "Replace", "Lowercase"] and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space") and model.get("end_of_word_suffix") == "</w>" and steps[0]["pattern"].get("Regex") == WORDS
         plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix"))
         plain = plain and (self.spaced and not model.get("end_of_word_suffix") or self.worded)
         self.engine = self._engine(model, steps) if plain else None
@@ -75,7 +84,8 @@ class Vocabulary:
         ranks = {p: r for r, p in enumerate(dict.fromkeys(order))}
         self.id_of = np.array([ids.get(p, 0) for p in ranks], np.uint32)
         if self.worded:
-            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+            self.pattern = plain_words()
+            self.id_list = self.id_of.tolist()
         # Fixed value: the byte-level pre-tokenizer's pattern
         cut = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         return tiktoken.Encoding("own", pat_str=cut, mergeable_ranks=ranks, special_tokens={})
@@ -86,7 +96,7 @@ class Vocabulary:
     def _word(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.id_of[self.engine._core_bpe.encode_single_piece(word.encode() + WORD_END)].tobytes()
+            ids = array("I", [self.id_list[k] for k in self.engine._core_bpe.encode_single_piece(word.encode() + WORD_END)]).tobytes()
         if len(word) <= 64:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}

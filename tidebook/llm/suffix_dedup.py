@@ -37,9 +37,11 @@ LEAST = 50
 K = 16
 SIDE = LEAST - K
 PACK_BYTES = 1 << 20
+#: Parts of the anchors' hashes for each shuffle partition.
+PARTS = 6
 #: Longest stretch hashed at once: positions within it fit PLACE_BITS.
 PLACE_BITS = 21
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 _options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
@@ -173,26 +175,49 @@ def _announce(n: int) -> Callable:
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which of each pack's anchors another document holds. A task's rows are its share of the anchors' hashes."""
-    packs, keys, several = [], [], []
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one part at a time, of rows sorted by part."""
+    rows: list[dict] = []
     for batch in batches:
-        for part, pack, raw, bits in zip(*(batch.column(c).to_pylist() for c in ("part", "pack", "keys", "several")), strict=True):
-            k = _from_six(raw) | np.uint64(part << 48)
-            packs.append(pack)
-            keys.append(k)
-            several.append(np.unpackbits(np.frombuffer(bits, np.uint8))[: len(k)].astype(bool))
-    if not packs:
-        return
-    every = np.concatenate(keys)
-    every = np.sort(np.concatenate([every, np.concatenate([k[s] for k, s in zip(keys, several, strict=True)])]))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    for pack, k in zip(packs, keys, strict=True):
-        at = np.searchsorted(twice, k)
-        at[at == len(twice)] = 0
-        found = k[twice[at] == k] if len(twice) else k[:0]
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([_six(found & np.uint64(_KEY))], pa.binary())], ["pack", "keys"])
+        for row in batch.to_pylist():
+            if rows and rows[-1]["part"] != row["part"]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of each pack's anchors another document holds, a part of the anchors' hashes at a time."""
+    for rows in _by_part(batches):
+        keys = [_from_six(r["keys"]) for r in rows]
+        several = [k[np.unpackbits(np.frombuffer(r["several"], np.uint8))[: len(k)].astype(bool)] for r, k in zip(rows, keys, strict=True)]
+        every = np.sort(np.concatenate(keys + several))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        if not len(twice):
+            continue
+        packs, found = [], []
+        for r, k in zip(rows, keys, strict=True):
+            at = np.searchsorted(twice, k)
+            at[at == len(twice)] = 0
+            own = k[twice[at] == k]
+            if len(own):
+                packs.append(r["pack"])
+                found.append(_six(own))
+        yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), pa.array(found, pa.binary())], ["pack", "keys"])
+
+
+def _hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges whose starts and ends ascend, a stretch of the buffer at a time."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + STRETCH, "right")))
+        base = start[a]
+        out[a:b] = range_hash(prefix_hash(BYTE_VALUE[buf[base : end[b - 1]]]), start[a:b] - base, end[a:b] - base)
+        a = b
+    return out
 
 
 def _classes(h: np.ndarray, alike: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,9 +257,8 @@ def _surround(n: int) -> Callable:
                 if not len(h):
                     continue
                 lo, hi = np.maximum(off[owner], place - SIDE), np.minimum(off[owner + 1], place + LEAST)
-                c = prefix_hash(BYTE_VALUE[buf])
                 with np.errstate(over="ignore"):
-                    alike = mix(range_hash(c, lo, hi) + (place - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
+                    alike = mix(_hash_ranges(buf, lo, hi) + (place - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
                 doc = ids[owner]
                 number, least = _classes(h, alike, doc)
                 later = doc > least[number]
@@ -303,31 +327,32 @@ def _repeats(buf: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarr
 
 
 #: Segments whose suffixes are sorted at once.
-AT_ONCE = 40_000
+AT_ONCE = 6_000
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spans to remove, by pack, from the surroundings that one task holds: its share of the anchors' hashes."""
+    """The spans to remove, by pack, a part of the anchors' hashes at a time."""
+    for rows in _by_part(batches):
+        if rows[0]["spans"]:
+            yield pa.RecordBatch.from_arrays([pa.array([r["pack"] for r in rows], pa.int64()), pa.array([r["spans"] for r in rows], pa.binary())], ["pack", "spans"])
+        else:
+            found = _settled(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["pack", "spans"])
+
+
+def _settled(rows: list[dict]) -> list[tuple[int, bytes]]:
     fields: dict[str, list] = {k: [] for k in ("pack", "h", "doc", "owner", "start", "length", "place", "bytes")}
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["spans"]:
-                yield pa.RecordBatch.from_arrays([pa.array([row["pack"]], pa.int64()), pa.array([row["spans"]], pa.binary())], ["pack", "spans"])
-                continue
-            h = np.frombuffer(row["h"], np.uint64)
-            fields["pack"].append(np.full(len(h), row["pack"], np.int64))
-            fields["h"].append(h)
-            for k, t in (("doc", np.int64), ("owner", np.int32), ("start", np.int64), ("length", np.uint8), ("place", np.uint8)):
-                fields[k].append(np.frombuffer(row[k], t).astype(np.int64))
-            fields["bytes"].append(np.frombuffer(_expand(row["bytes"]), np.uint8))
-    if not fields["h"]:
-        return
+    for row in rows:
+        h = np.frombuffer(row["h"], np.uint64)
+        fields["pack"].append(np.full(len(h), row["pack"], np.int64))
+        fields["h"].append(h)
+        for k, t in (("doc", np.int64), ("owner", np.int32), ("start", np.int64), ("length", np.uint8), ("place", np.uint8)):
+            fields[k].append(np.frombuffer(row[k], t).astype(np.int64))
+        fields["bytes"].append(np.frombuffer(_expand(row["bytes"]), np.uint8))
     pack, h, doc, owner, start, length, place, buf = (np.concatenate(fields.pop(k)) for k in list(fields))
     at = np.cumsum(length) - length
-    c = prefix_hash(BYTE_VALUE[buf])
     with np.errstate(over="ignore"):
-        alike = mix(range_hash(c, at, at + length) + place.astype(np.uint64) * np.uint64(1 << 20) + length.astype(np.uint64))
-    del c
+        alike = mix(_hash_ranges(buf, at, at + length) + place.astype(np.uint64) * np.uint64(1 << 20) + length.astype(np.uint64))
     number, least = _classes(h, alike, doc)
     later = (doc > least[number]) & (length >= LEAST)
     found = [(np.flatnonzero(later), np.zeros(int(later.sum()), np.int64), length[later])]
@@ -346,17 +371,19 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while b < len(pick) and h[pick[b]] == h[pick[b - 1]]:
             b += 1
         i = pick[a:b]
-        got = np.array(_repeats(buf, at[i], length[i], h[i], place[i], doc[i]), np.int64).reshape(-1, 3)
+        ends = np.cumsum(length[i])
+        got = np.array(_repeats(_gather(buf, at[i], length[i]), ends - length[i], length[i], h[i], place[i], doc[i]), np.int64).reshape(-1, 3)
         if len(got):
             lo, hi = np.searchsorted(numbers, number[i[got[:, 0]]], "left"), np.searchsorted(numbers, number[i[got[:, 0]]], "right")
             found.append((_gather(members, lo, hi - lo), np.repeat(got[:, 1], hi - lo), np.repeat(got[:, 2], hi - lo)))
         a = b
     row, shift, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    out = []
     for p in np.unique(pack[row]):
         i = np.flatnonzero(pack[row] == p)
         r = row[i]
-        name, spans = _spans_row(int(p), owner[r], start[r] + shift[i], start[r] + shift[i] + size[i])
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([spans], pa.binary())], ["pack", "spans"])
+        out.append(_spans_row(int(p), owner[r], start[r] + shift[i], start[r] + shift[i] + size[i]))
+    return out
 
 
 def _cut(digests: bool, schema: pa.Schema) -> Callable:
@@ -406,11 +433,12 @@ def without_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     docs = docs.select("doc_id", "text") if digests else docs
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     n = partitions(spark)
+    parts = n * PARTS  # a task takes its parts one after the other, so it holds one at a time
     packs = docs.mapInArrow(_pack, "pack long, rows binary").repartition(n, "pack")
-    shared = packs.mapInArrow(_announce(n), "part int, pack long, keys binary, several binary").repartition(n, "part").mapInArrow(_shared, "pack long, keys binary")
+    shared = packs.mapInArrow(_announce(parts), "part int, pack long, keys binary, several binary").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared, "pack long, keys binary")
     shared = shared.groupBy("pack").agg(F.collect_list("keys").alias("keys"))
-    around = packs.join(shared, "pack").select("pack", "rows", "keys").mapInArrow(_surround(n), _SURROUND)
-    spans = around.repartition(n, F.when(F.col("part") < 0, F.xxhash64("pack")).otherwise(F.col("part").cast("long"))).mapInArrow(_settle, "pack long, spans binary")
+    around = packs.join(shared, "pack").select("pack", "rows", "keys").mapInArrow(_surround(parts), _SURROUND)
+    spans = around.repartition(n, F.when(F.col("part") < 0, F.xxhash64("pack")).otherwise(F.col("part").cast("long"))).sortWithinPartitions("part").mapInArrow(_settle, "pack long, spans binary")
     spans = spans.groupBy("pack").agg(F.collect_list("spans").alias("spans"))
     both = packs.join(spans, "pack", "left").select("rows", "spans")
     if digests:

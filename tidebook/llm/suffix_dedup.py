@@ -4,7 +4,7 @@ Every window of LEAST bytes holds an anchor: its k-gram of the least hash (the l
 depends on the window's bytes alone. So two equal windows hold the same anchor at the same place, and all
 equalities can be found among the surroundings of equal anchors:
 
-1. Texts are packed into blocks of about a megabyte; each pack sends its anchors' hashes, once each, to where they are
+1. Texts are packed into blocks of up to four megabytes; each pack sends its anchors' hashes, once each, to where they are
    counted, and learns which of them other documents hold.
 2. Each pack sends the surroundings of those anchors (up to LEAST bytes to either side, so that every window that
    holds the anchor is inside). Equal surroundings are settled within a pack first: only the smallest document's goes
@@ -36,7 +36,7 @@ from tidebook.llm.suffix_array import NOTHING, intervals
 LEAST = 50
 K = 16
 SIDE = LEAST - K
-PACK_BYTES = 1 << 20
+PACK_BYTES = 4 << 20
 #: Parts of the anchors' hashes for each shuffle partition.
 PARTS = 6
 #: Longest stretch hashed at once: positions within it fit PLACE_BITS.
@@ -251,6 +251,8 @@ def _surround(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, raw, lists in zip(*(batch.column(c).to_pylist() for c in ("pack", "rows", "keys")), strict=True):
+                if not lists:
+                    continue
                 buf, off, ids, place, owner, h = _own_anchors(_unpack(raw))
                 keep = np.isin(h & np.uint64(_KEY), np.concatenate([_from_six(x) for x in lists]))
                 place, owner, h = place[keep], owner[keep], h[keep]
@@ -274,7 +276,8 @@ def _surround(n: int) -> Callable:
                     i = order[a:b]
                     i = i[np.argsort(place[i])]
                     size = hi[i] - lo[i]
-                    rows.append((int(part[a]), pack, h[i].tobytes(), doc[i].astype(np.int64).tobytes(), owner[i].astype(np.int32).tobytes(), (lo - off[owner])[i].astype(np.int64).tobytes(), size.astype(np.uint8).tobytes(), (place - lo)[i].astype(np.uint8).tobytes(), _squeeze(_gather(buf, lo[i], size).tobytes()), b""))
+                    numbers = (np.diff(doc[i], prepend=0), np.diff(owner[i], prepend=0).astype(np.int32), (lo - off[owner])[i], size.astype(np.uint8), (place - lo)[i].astype(np.uint8), _gather(buf, lo[i], size))
+                    rows.append((int(part[a]), pack, _six(h[i] & np.uint64(_KEY)), *(_squeeze(x.tobytes()) for x in numbers), b""))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -343,11 +346,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _settled(rows: list[dict]) -> list[tuple[int, bytes]]:
     fields: dict[str, list] = {k: [] for k in ("pack", "h", "doc", "owner", "start", "length", "place", "bytes")}
     for row in rows:
-        h = np.frombuffer(row["h"], np.uint64)
+        h = _from_six(row["h"])
         fields["pack"].append(np.full(len(h), row["pack"], np.int64))
         fields["h"].append(h)
         for k, t in (("doc", np.int64), ("owner", np.int32), ("start", np.int64), ("length", np.uint8), ("place", np.uint8)):
-            fields[k].append(np.frombuffer(row[k], t).astype(np.int64))
+            x = np.frombuffer(_expand(row[k]), t).astype(np.int64)
+            fields[k].append(np.cumsum(x) if k in ("doc", "owner") else x)
         fields["bytes"].append(np.frombuffer(_expand(row["bytes"]), np.uint8))
     pack, h, doc, owner, start, length, place, buf = (np.concatenate(fields.pop(k)) for k in list(fields))
     at = np.cumsum(length) - length
@@ -437,7 +441,8 @@ def without_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     packs = docs.mapInArrow(_pack, "pack long, rows binary").repartition(n, "pack")
     shared = packs.mapInArrow(_announce(parts), "part int, pack long, keys binary, several binary").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared, "pack long, keys binary")
     shared = shared.groupBy("pack").agg(F.collect_list("keys").alias("keys"))
-    around = packs.join(shared, "pack").select("pack", "rows", "keys").mapInArrow(_surround(parts), _SURROUND)
+    # left joins leave the packs as they are, so that their one shuffle serves all three steps
+    around = packs.join(shared, "pack", "left").select("pack", "rows", "keys").mapInArrow(_surround(parts), _SURROUND)
     spans = around.repartition(n, F.when(F.col("part") < 0, F.xxhash64("pack")).otherwise(F.col("part").cast("long"))).sortWithinPartitions("part").mapInArrow(_settle, "pack long, spans binary")
     spans = spans.groupBy("pack").agg(F.collect_list("spans").alias("spans"))
     both = packs.join(spans, "pack", "left").select("rows", "spans")

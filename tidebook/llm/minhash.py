@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.components import connected_components
 from tidebook.llm.kernels import blocks, common, mix, shingle_sets
-from tidebook.llm.runtime import id_text, partitions, small_batches, written
+from tidebook.llm.runtime import id_text, partitions, returns_memory, small_batches, written
 
 BANDS, ROWS = 32, 4
 N_HASHES = BANDS * ROWS
@@ -48,6 +48,7 @@ def signatures(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+@returns_memory
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, buf, off in blocks(batch, "text"):
@@ -57,6 +58,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
 
 
+@returns_memory
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
@@ -71,6 +73,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(ids)], ["bucket", "doc_id"])
 
 
+@returns_memory
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -81,6 +84,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -150,6 +154,7 @@ def _join_blocks(docs: list[int], parts: list[int], sets: list[np.ndarray], perc
 
 
 def _across(percent: int):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, docs, parts, sets = None, [], [], []
         links: list[tuple[int, int]] = []

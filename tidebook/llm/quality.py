@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.kernels import BASE, LOWER_VALUE, blocks, mix, prefix_hash, range_hash
-from tidebook.llm.runtime import id_text, small_batches
+from tidebook.llm.runtime import id_text, returns_memory, small_batches
 
 BITS = 18
 #: Labelled documents that train at most, chosen by a hash of their id: the documented bound of the sample.
@@ -105,6 +105,7 @@ class Leader:
         self.n[index] = n + g2
 
 
+@returns_memory
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     leader, kept, size, seen = Leader(), [], 0, 0
     for batch in batches:
@@ -138,6 +139,7 @@ def trained(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.n
 
 
 def _score(weights: np.ndarray):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in blocks(batch, "text"):
@@ -169,6 +171,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
 
 def _accept(weights: np.ndarray, threshold: float):
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in blocks(batch, "text"):

@@ -4,7 +4,7 @@ Every window of LEAST bytes holds an anchor: its k-gram of the least hash (the l
 depends on the window's bytes alone. So two equal windows hold the same anchor at the same place, and all
 equalities can be found among the surroundings of equal anchors:
 
-1. Texts are packed into blocks of up to four megabytes; each pack sends its anchors' hashes, once each, to where they are
+1. Texts are packed into blocks of about a megabyte; each pack sends its anchors' hashes, once each, to where they are
    counted, and learns which of them other documents hold.
 2. Each pack sends the surroundings of those anchors (up to LEAST bytes to either side, so that every window that
    holds the anchor is inside). Equal surroundings are settled within a pack first: only the smallest document's goes
@@ -30,13 +30,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidebook.llm.kernels import BYTE_VALUE, blocks, mix, prefix_hash, range_hash, utf8
-from tidebook.llm.runtime import partitions, small_batches
+from tidebook.llm.runtime import partitions, returns_memory, small_batches
 from tidebook.llm.suffix_array import NOTHING, intervals
 
 LEAST = 50
 K = 16
 SIDE = LEAST - K
-PACK_BYTES = 4 << 20
+PACK_BYTES = 1 << 20
 #: Parts of the anchors' hashes for each shuffle partition.
 PARTS = 6
 #: Longest stretch hashed at once: positions within it fit PLACE_BITS.
@@ -53,6 +53,7 @@ def _expand(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+@returns_memory
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, _, _ in blocks(batch, "text", PACK_BYTES):
@@ -154,6 +155,7 @@ def _own_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _announce(n: int) -> Callable:
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, raw in zip(batch.column("pack").to_pylist(), batch.column("rows").to_pylist(), strict=True):
@@ -188,6 +190,7 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
+@returns_memory
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which of each pack's anchors another document holds, a part of the anchors' hashes at a time."""
     for rows in _by_part(batches):
@@ -248,6 +251,7 @@ def _surround(n: int) -> Callable:
     names = [c.split(" ")[0] for c in _SURROUND.split(", ")]
     kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, raw, lists in zip(*(batch.column(c).to_pylist() for c in ("pack", "rows", "keys")), strict=True):
@@ -333,6 +337,7 @@ def _repeats(buf: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarr
 AT_ONCE = 6_000
 
 
+@returns_memory
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The spans to remove, by pack, a part of the anchors' hashes at a time."""
     for rows in _by_part(batches):
@@ -391,6 +396,7 @@ def _settled(rows: list[dict]) -> list[tuple[int, bytes]]:
 
 
 def _cut(digests: bool, schema: pa.Schema) -> Callable:
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, lists in zip(batch.column("rows").to_pylist(), batch.column("spans").to_pylist(), strict=True):

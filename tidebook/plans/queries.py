@@ -189,10 +189,10 @@ def vpin_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RV = f"{MID_SQL}, x0 AS (SELECT *, ret_bps * ret_bps AS r2, abs(ret_bps) * abs(lag(ret_bps) OVER ({WIN})) * 1.5707963267948966::DOUBLE AS rb, abs(ret_bps) / (trade_volume + 1.0) AS il, ret_bps * signed_trade_size AS xy, signed_trade_size * signed_trade_size AS yy FROM f2), x1 AS (SELECT *, {', '.join(f'{sql_gated(a, c, 60)} AS {n}' for a, c, n in (('sum', 'r2', 'rv'), ('sum', 'rb', 'bv'), ('avg', 'il', 'amihud'), ('avg', 'xy', 'mxy'), ('avg', 'ret_bps', 'mx'), ('avg', 'signed_trade_size', 'my'), ('avg', 'yy', 'myy')))} FROM x0)"
 
 
-@query(f"WITH {_RV} SELECT symbol, ts_event, {r('rv', 0, 'rv_60s')}, {r('bv', 0, 'bv_60s')}, {r('greatest(rv - bv, 0.0) / (rv + 1e-9)', 6, 'jump_ratio')} FROM x1 WHERE rv IS NOT NULL AND bv IS NOT NULL")
+@query(f"WITH {_RV} SELECT symbol, ts_event, {r('ln(1.0 + rv)', 6, 'rv_60s')}, {r('ln(1.0 + bv)', 6, 'bv_60s')}, {r('greatest(rv - bv, 0.0) / (rv + 1e-9)', 6, 'jump_ratio')} FROM x1 WHERE rv IS NOT NULL AND bv IS NOT NULL")
 def rv_bv_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = FE.variation(mids(spark, sf_dir)).where("rv_60s is not null and bv_60s is not null")
-    return out(df, ["jump_ratio"], [*KEY, rounded("rv_60s", 0).alias("rv_60s"), rounded("bv_60s", 0).alias("bv_60s")])
+    return out(df, ["jump_ratio"], [*KEY, rounded(F.log1p("rv_60s")).alias("rv_60s"), rounded(F.log1p("bv_60s")).alias("bv_60s")])
 
 
 @query(f"WITH {_RV} SELECT symbol, ts_event, {r('amihud', 5, 'amihud_60s')}, {r('(mxy - mx * my) / nullif(myy - my * my + 1e-9, 0)', 4, 'kyle_lambda_60s')} FROM x1 WHERE myy - my * my > 1e-6")
@@ -204,11 +204,12 @@ def kyle_amihud(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CVD = f"{_OFI}"
 
 
-@query(f"WITH {_CVD} SELECT symbol, ts_event, {', '.join(r(sql_gated('sum', c, w), 4, f'{k}_{w}s') for k, c in (('cvd', 'signed_trade_size'),) for w in (30, 180))}, {', '.join(r(sql_gated('sum', c, w), 4, f'{k}_{w}s') for k, c in (('ofi', 'ofi_raw'), ('mom', 'ret_bps'), ('tfi', 'signed_trade_size')) for w in (5, 60))}, {r(sql_gated('stddev_samp', 'ret_bps', 60), 3, 'rvol_60s')} FROM o0")
+@query(f"WITH {_CVD} SELECT symbol, ts_event, {', '.join(r(sql_gated('sum', c, w), 4, f'{k}_{w}s') for k, c in (('cvd', 'signed_trade_size'),) for w in (30, 180))}, {', '.join(r(sql_gated('sum', c, w), 4, f'{k}_{w}s') for k, c in (('ofi', 'ofi_raw'), ('tfi', 'signed_trade_size')) for w in (5, 60))}, {', '.join(r(f"sign({m}) * ln(1.0 + abs({m}))", 6, f"mom_{w}s") for w, m in ((5, sql_gated('sum', 'ret_bps', 5)), (60, sql_gated('sum', 'ret_bps', 60))))}, {r(f"ln(1.0 + {sql_gated('stddev_samp', 'ret_bps', 60)})", 6, 'rvol_60s')} FROM o0")
 def cvd_mom_tfi(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = FE.flows(FE.order_flow(mids(spark, sf_dir)))
-    names = [f"cvd_{w}s" for w in (30, 180)] + [f"{k}_{w}s" for k in ("ofi", "mom", "tfi") for w in (5, 60)]
-    return out(df, names, [*KEY, rounded("rvol_60s", 3).alias("rvol_60s")], 4)
+    names = [f"cvd_{w}s" for w in (30, 180)] + [f"{k}_{w}s" for k in ("ofi", "tfi") for w in (5, 60)]
+    moved = [rounded(F.signum(f"mom_{w}s") * F.log1p(F.abs(f"mom_{w}s"))).alias(f"mom_{w}s") for w in (5, 60)]
+    return out(df, names, [*KEY, *moved, rounded(F.log1p("rvol_60s")).alias("rvol_60s")], 4)
 
 
 def _ewm_sql(source: str, c: str, halflife: float) -> str:

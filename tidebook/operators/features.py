@@ -175,6 +175,8 @@ def ranks(df: DataFrame) -> DataFrame:
 
 def extract_features(bars: DataFrame) -> DataFrame:
     """All features of dense bars; bounded features and z-scores are repaired (null and NaN to 0)."""
+    # hundreds of aliased columns make the optimizer's inferred constraints grow without end once a filter follows
+    bars.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     df = bars
     for step in (prices, book_shape, microstructure, queues, order_flow, trades, variation, flows, recurrences, z_scores, ranks):
         df = step(df)

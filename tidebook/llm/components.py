@@ -2,42 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.runtime import written
 
+#: Edges that one task holds: a smaller table is worked on in one partition, where no step has to shuffle.
+PER_TASK = 400_000
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+
+def _pairs(*pairs: tuple[Column | str, Column | str]) -> Column:
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.explode(F.array(*[F.struct(col(a).alias("u"), col(b).alias("v")) for a, b in pairs])).alias("e")
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: each node links its greater neighbours to the least node about it. Small star: each node links
     itself and its smaller neighbours to the least of them. The least neighbour is a pre-aggregated minimum and the
     join back is an equi-join that adaptive execution splits, so no neighbourhood is gathered in one place."""
     if large:
-        near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = edges.select(_pairs(("u", "v"), ("v", "u"))).select("e.*")
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     joined = near.join(least, "u")
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return joined.select(_pairs(("v", "m"), ("u", "m"))).select("e.*").where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Edges (u, v) of long node ids to (node, component): the least node id reachable. Nodes without an edge to
     another node are not returned. Null ends, loops and repeated edges are ignored; no edges give no rows.
     The rounds end when an alternation leaves the edge table unchanged (row count and checksum)."""
+
+    def sized(df: DataFrame, rows: int) -> DataFrame:
+        return df.coalesce(1) if rows <= PER_TASK else df
+
     now = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    mark = None
+    size, mark = now.count(), None
     for _ in range(most_rounds):
-        now = written(_stars(_stars(now, True), False), "cc")
+        now = written(_star(_star(sized(now, size), True), False), "cc")
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark or not seen[0]:
             break
-        mark = seen
+        size, mark = seen[0], seen
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return sized(now, size).select(_pairs(("u", "v"), ("v", "v"))).select(F.col("e.u").alias("node"), F.col("e.v").alias("component")).distinct()

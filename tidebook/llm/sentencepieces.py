@@ -26,7 +26,7 @@ from tidebook.llm.transducer import JoinEncoder, Transducer
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-REMEMBERED = 150_000
+REMEMBERED = 350_000
 #: Fixed value: what the library subtracts from the least score for an unknown character in a unigram model.
 UNKNOWN_PENALTY = 10.0
 

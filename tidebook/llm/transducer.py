@@ -125,6 +125,16 @@ class Transducer:
             self._sides[token] = self.encoder.sides([text[i : i + 1] for i in range(len(text))])
         return self._sides[token]
 
+    @property
+    def linked(self) -> tuple[dict, int]:
+        """The trie as nested (children, token) pairs."""
+        if not hasattr(self, "_linked"):
+            nodes = [({}, end) for end in self.ends]
+            for (children, _), own in zip(nodes, self.children, strict=True):
+                children.update((c, nodes[n]) for c, n in own.items())
+            self._linked = nodes[0]
+        return self._linked
+
     def step(self, live_now: tuple, c) -> tuple[tuple, int, int]:
         """The state after a symbol, the change of the token count and the last token."""
         last = None
@@ -186,21 +196,23 @@ class Transducer:
         backward from the last tokens of its prefixes."""
         size = len(text)
         last = [-1] * (size + 1)
-        children, ends, known, fits = self.children, self.ends, self._fits, self.fits
+        known, fits, root = self._fits, self.fits, self.linked
         for i in range(size):
             before = last[i]
-            if i and before < 0:
+            if before < 0 and i:
                 continue
-            node = 0
-            for j in range(i, size):
-                node = children[node].get(text[j])
+            node = root
+            j = i
+            for c in text[i:] if i else text:
+                node = node[0].get(c)
                 if node is None:
                     break
-                token = ends[node]
-                if token >= 0 and last[j + 1] < 0:
+                j += 1
+                token = node[1]
+                if token >= 0 and last[j] < 0:
                     ok = known.get((before, token))
-                    if ok if ok is not None else fits(before, token):
-                        last[j + 1] = token
+                    if ok or ok is None and fits(before, token):
+                        last[j] = token
         out, i, length = [], size, self.length
         while i:
             token = last[i]

@@ -69,6 +69,16 @@ def test_weighted_statistics_match_pandas():
     assert std[4] == 0.0
 
 
+@pytest.mark.parametrize("halflife", [5, 180])
+def test_columns_at_once_match_pandas(halflife):
+    x = np.column_stack([100 + np.cumsum(np.random.default_rng(k).normal(size=5000)) for k in range(3)] + [np.full(5000, 7.0)])
+    mean, std = ewm.weighted_mean_std_columns(x, halflife)
+    e = pd.DataFrame(x).ewm(halflife=halflife)
+    np.testing.assert_allclose(mean, e.mean(), rtol=1e-11)
+    np.testing.assert_allclose(std[1:, :3], e.std().to_numpy()[1:, :3], rtol=1e-7)
+    assert not std[0].any() and not std[:, 3].any()
+
+
 def test_recursive_z_moments_sign_and_state():
     x = np.random.default_rng(7).normal(size=10_000)
     z, _ = ewm.recursive_z(x, 1000)

@@ -90,10 +90,11 @@ def with_long_moments(df: DataFrame, wanted: Sequence[tuple[str, str, int, str]]
 
 
 def average_rank(c: str | Column, keys: Sequence[str], descending: bool = False) -> Column:
-    """Rank within keys, ties at their mean rank; null for null."""
+    """Rank within keys, ties at their mean rank; null for null. Ties are a RANGE frame of the ranking's own window, so
+    ranks of several columns share one partitioning."""
     c = col(c)
     ordered = Window.partitionBy(*keys).orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())
-    ties = Window.partitionBy(*keys, c)
+    ties = ordered.rangeBetween(Window.currentRow, Window.currentRow)
     return F.when(c.isNotNull(), F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
 
 

@@ -17,6 +17,7 @@ from tidebook.functions.expr import clip, repaired, safe_div, sum_of
 from tidebook.functions.windows import gated, lag, percentile_rank, with_long_moments
 
 EPS = 1e-9
+#: Window lengths, halflives and the names of the features, which the model's input is chosen by.
 FLOW_ROWS = (5, 30, 60, 300)
 VOL_ROWS = (30, 60, 180, 300, 600)
 HALFLIVES = (180, 600)

@@ -459,7 +459,8 @@ rel AS (SELECT *, CASE WHEN i = j THEN 0 WHEN ei AND mj AND (abs(corr) >= 0.1 OR
 
 
 def _edges(spark: SparkSession, sf_dir: str, top_k: int) -> DataFrame:
-    panel = _panel(spark, sf_dir).select("ti", "day", F.col("symbol").alias("node"), F.coalesce("ret_bps", F.lit(0.0)).alias("ret"))
+    # read by every pair statistic: written once
+    panel = written(_panel(spark, sf_dir).select("ti", "day", F.col("symbol").alias("node"), F.coalesce("ret_bps", F.lit(0.0)).alias("ret")), "panel")
     n = F.substring("node", 2, 3).cast("int")
     nodes = panel.select("node").distinct().select("node", F.when(n < 6, "equity").otherwise("macro").alias("kind"), (n % 2).alias("sector"))
     ends = GR.window_ends(panel, (300, 1800), step=500, first=100)

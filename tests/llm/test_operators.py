@@ -339,3 +339,18 @@ def test_queries_run(spark):
 
     assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
     assert QUERIES["op7_matroska"](spark, SMALL).count() == 200
+
+
+def test_anchors_of_long_texts_do_not_depend_on_stretches(monkeypatch):
+    from tidebook.llm import suffix_dedup
+
+    rng = np.random.default_rng(0)
+    buf = rng.integers(97, 101, 120_000).astype(np.uint8)
+    buf[30_000:30_400] = 97
+    off = np.array([0, 10, 49, 99, 110_000, 120_000])
+    whole = suffix_dedup.anchors(buf, off)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 10_000)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, suffix_dedup.anchors(buf, off), strict=True))
+    places = np.concatenate([whole[0], [10**9]])
+    starts = np.concatenate([np.arange(off[k], off[k + 1] - 49) for k in range(5) if off[k + 1] - off[k] >= 50])
+    assert (places[np.searchsorted(places, starts)] <= starts + 50 - suffix_dedup.K).all()

@@ -57,7 +57,7 @@ def lift_over_noise(df: DataFrame, descriptor: str, forward: str, tail: float =
 
     pool = df.select(*by, d.alias("__d"), f.alias("__f")).where(fine(F.col("__d")) & fine(F.col("__f")))
     ends = pool.groupBy(*by).agg(F.percentile("__d", F.array(F.lit(1 - tail), F.lit(tail))).alias("__q"))
-    both = pool.join(F.broadcast(ends), list(by)) if by else pool.crossJoin(F.broadcast(ends))
+    both = pool.join(ends, list(by)) if by else pool.crossJoin(F.broadcast(ends))
     sides = F.array(F.struct(F.lit("long").alias("direction"), (F.col("__d") >= F.col("__q")[0]).alias("hit"), F.lit(1.0).alias("sign")), F.struct(F.lit("short").alias("direction"), (F.col("__d") <= F.col("__q")[1]).alias("hit"), F.lit(-1.0).alias("sign")))
     long = both.withColumn("__s", F.explode(sides)).select(*by, "__f", "__s.*")
     hit = F.when(F.col("hit"), F.col("__f"))

@@ -105,6 +105,6 @@ def sector_pairs(nodes: DataFrame, sector: str = "sector", node: str = "node") -
 
 def batch_offsets(edges: DataFrame, n_nodes: int) -> DataFrame:
     """Block-diagonal batching: the b-th graph's node numbers move by b * n_nodes. ``edges`` has (te, src, dst)."""
-    order = edges.select("te").distinct().withColumn("__b", F.dense_rank().over(Window.orderBy("te")) - 1)  # a row a graph
-    both = edges.join(F.broadcast(order), "te")
+    order = edges.select("te").distinct().withColumn("__b", F.dense_rank().over(Window.orderBy("te")) - 1)  # a row a graph of one batch
+    both = edges.join(order, "te")
     return both.withColumns({"src": F.col("src") + F.col("__b") * n_nodes, "dst": F.col("dst") + F.col("__b") * n_nodes}).drop("__b")

@@ -20,7 +20,7 @@ def newey_west(df: DataFrame, value: str, order: str, lags: int, by: Sequence[st
     w = Window.partitionBy(*by).orderBy(order)
     rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("__x"))
     means = rows.groupBy(*by).agg(F.avg("__x").alias("__m"), F.count(F.lit(1)).alias("__n"))
-    rows = rows.join(F.broadcast(means), list(by)) if by else rows.crossJoin(F.broadcast(means))
+    rows = rows.join(means, list(by)) if by else rows.crossJoin(F.broadcast(means))
     rows = rows.withColumn("__e", F.col("__x") - F.col("__m")).withColumn("__l", F.least(F.lit(max(lags, 0)), F.col("__n") - 1))
     before = F.collect_list("__e").over(w.rowsBetween(-max(lags, 1), -1))
     rows = rows.withColumn("__b", before)

@@ -547,7 +547,7 @@ def kalman_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir)
     times = P.time_index(s)
-    rows = s.join(F.broadcast(times), "ts_event").withColumns({"score": F.col("p"), "scored": F.col("ti") % 3 == 0, "valid": F.col("p").isNotNull(), "ret1s": F.col("ret_bps") / 1e4, "fold": F.lit(0)})
+    rows = s.join(times, "ts_event").withColumns({"score": F.col("p"), "scored": F.col("ti") % 3 == 0, "valid": F.col("p").isNotNull(), "ret1s": F.col("ret_bps") / 1e4, "fold": F.lit(0)})
     return rows.withColumnsRenamed({"bid_sz_00": "bid_sz", "ask_sz_00": "ask_sz", "trade_size_buy": "buy_vol", "trade_size_sell": "sell_vol"}).withColumn("day", F.col("day").cast("int"))
 
 

@@ -69,7 +69,7 @@ def simulator_rows(scored: DataFrame) -> DataFrame:
     """The simulators' long input: every test row carries a score of its own."""
     per_fold = scored.select("fold", "ts_event", "date").distinct()
     times = time_index(per_fold.select("ts_event", "date"))
-    rows = scored.join(F.broadcast(times), "ts_event")
+    rows = scored.join(times, "ts_event")
     named = {"bid_sz_00": "bid_sz", "ask_sz_00": "ask_sz", "trade_size_buy": "buy_vol", "trade_size_sell": "sell_vol"}
     return rows.withColumnsRenamed(named).withColumns({"day": F.col("day").cast("int"), "scored": F.lit(True), "valid": F.col("score").isNotNull(), "ret1s": F.col("ret_bps") / 1e4})
 

@@ -109,6 +109,38 @@ def test_graph_statistics_and_relations(spark):
     assert {(r.te, r.src, r.dst) for r in moved.collect()} == {(1, 0, 2), (5, 5, 6)}
 
 
+def test_graph_at_every_window_end(spark):
+    series, p = _graph_panel(spark)
+    p = p.withColumn("day", (F.col("ti") >= 120).cast("int"))
+    got = GR.every_end_stats(p, 40, 5, "", seq=30, block=16).toPandas().set_index(["te", "i", "j"]).sort_index()
+    ends = [te for te in range(200) if te - (120 if te >= 120 else 0) >= 29]
+    assert len(got) == len(ends) * 16
+    for te in ends:
+        lo = max(te - 40, 120 if te >= 120 else 0)
+        for i, j in (("a", "a"), ("a", "b"), ("c", "a"), ("m", "c")):
+            x, y = series[i][lo : te + 1], series[j][lo : te + 1]
+            row = got.loc[te, i, j]
+            cov = np.cov(x, y)[0, 1]
+            assert row["n"] == len(x) and row["corr"] == pytest.approx(cov / (x.std() * y.std())) and row["beta"] == pytest.approx(np.clip(cov / y.var(), -5, 5))
+            x, y = x[5:], y[:-5]
+            assert row["ll"] == pytest.approx(np.cov(x, y)[0, 1] / (x.std() * y.std()))
+    by_join = GR.pair_stats(p, GR.window_ends(p, (40,)), "lo_40", 5, "").where(f"te in ({','.join(map(str, ends))})").toPandas().set_index(["te", "i", "j"]).sort_index()
+    np.testing.assert_allclose(got.to_numpy(float), by_join[got.columns].to_numpy(float), atol=1e-9)
+
+
+def test_graph_queries_cover_every_window_end(spark):
+    from tests.conftest import SMALL
+
+    from tidebook.plans.queries import QUERIES
+
+    times = QUERIES["panel_dense"](spark, SMALL).select("ti", "day").distinct().toPandas()
+    start = times.groupby("day").ti.transform("min")
+    want = set(times.ti[times.ti - start >= 29])
+    for name in ("corr_edges_full", "edges_topk_full"):
+        got = QUERIES[name](spark, SMALL).where("rel = 0").select("te", "src").toPandas()
+        assert set(got.te) == want and len(got) == 8 * len(want), name
+
+
 def test_newey_west_by_loop(spark):
     x = np.cumsum(np.random.default_rng(2).normal(size=120)) * 0.1 + 0.3
     for lags in (0, 1, 7, 500):

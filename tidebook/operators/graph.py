@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,52 @@ def pair_stats(panel: DataFrame, ends: DataFrame, low: str, lag: int, prefix: st
     return out.select("te", "i", "j", "n", f"{prefix}corr", f"{prefix}beta", f"{prefix}vol_ratio", F.when(F.col("m") >= 2, F.coalesce("__ll", F.lit(0.0))).otherwise(0.0).alias(f"{prefix}ll"))
 
 
+def every_end_stats(panel: DataFrame, back: int, lag: int, prefix: str, seq: int = 1, block: int = 512) -> DataFrame:
+    """``pair_stats`` of every row index as a window end whose last ``seq`` rows lie in its day; lookbacks of ``back``
+    rows are clipped at the day's start. ``panel`` (ti, day, node, ret) has every node at every time.
+
+    A row goes to each block of ends that its windows reach, and a kernel takes one block of a day: at most
+    ``back + block`` times, however long the day or the table."""
+    days = panel.groupBy("day").agg(F.min("ti").alias("ds"), F.max("ti").alias("de"))
+    reach = F.sequence(F.floor(F.col("ti") / block), F.floor(F.least(F.col("ti") + back, "de") / block))
+    rows = panel.join(F.broadcast(days), "day").select("day", "ds", F.explode(reach).alias("__b"), F.col("ti").cast("long").alias("ti"), "node", F.col("ret").cast("double").alias("ret"))
+    names = ["n", *[prefix + c for c in ("corr", "beta", "vol_ratio", "ll")]]
+
+    def stats(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        wide = part.pivot(index="ti", columns="node", values="ret")
+        ti, nodes, r, start = wide.index.to_numpy(), wide.columns.to_numpy(), wide.to_numpy(), int(part["ds"].iloc[0])
+        ends = ti[(ti // block == key[1]) & (ti - start >= seq - 1)]
+        got = [_window_stats(r[np.searchsorted(ti, max(start, te - back)) : np.searchsorted(ti, te) + 1], lag) for te in ends]
+        size = len(nodes) ** 2
+        out = {"te": np.repeat(ends, size), "i": np.tile(np.repeat(nodes, len(nodes)), len(ends)), "j": np.tile(nodes, len(nodes) * len(ends))}
+        return pd.DataFrame(out | {c: np.concatenate([g[k] for g in got]) if got else np.zeros(0) for k, c in enumerate(names)})
+
+    schema = f"te long, i string, j string, n long, {', '.join(f'{c} double' for c in names[1:])}"
+    return rows.groupBy("day", "__b").applyInPandas(stats, schema)
+
+
+def _centred(r: np.ndarray) -> np.ndarray:
+    """Columns less their means; exactly 0 where a column never varies."""
+    return np.where(r.max(axis=0) > r.min(axis=0), r - r.mean(axis=0), 0.0)
+
+
+def _window_stats(r: np.ndarray, lag: int) -> tuple[np.ndarray, ...]:
+    """n, corr, beta, vol_ratio and ll of all column pairs (i, j) of one window, flat, by ``pair_stats``' rules."""
+    n, k = r.shape
+    c = _centred(r)
+    var = (c * c).mean(axis=0)
+    var = np.where(var > 0, var, 1e-12)
+    sd = np.sqrt(var)
+    cov = c.T @ c / max(n - 1, 1)
+    ll = np.zeros((k, k))
+    if n - lag >= 2:
+        x, y = _centred(r[lag:]), _centred(r[:-lag])
+        d = np.outer(np.sqrt((x * x).mean(axis=0)), np.sqrt((y * y).mean(axis=0)))
+        ll = np.divide(x.T @ y / (n - lag - 1), d, out=ll, where=d > 0)
+    ratio = np.log((sd[:, None] + 1e-12) / (sd[None, :] + 1e-12))
+    return tuple(x.ravel() for x in (np.full(k * k, n), cov / np.outer(sd, sd), np.clip(cov / var[None, :], -5.0, 5.0), ratio, ll))
+
+
 def relation(threshold: float, sector: Column, market: Column, macro: Column) -> Column:
     """The relation of target i and source j: of all that hold, the one of the highest standing."""
     corr, ll = F.col("corr"), F.col("lead_lag_5s")
@@ -65,14 +113,18 @@ def prune(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("__r", F.row_number().over(w)).where(~dense | (F.col("__r") <= k)).drop("__r")
 
 
-def dynamic_edges(panel: DataFrame, nodes: DataFrame, ends: DataFrame, threshold: float = 0.2, top_k: int = 8, market: str | None = None, lag: int = 5, slow_lag: int = 30, short: str = "lo_300", long: str = "lo_1800", ablate: bool = False) -> DataFrame:
-    """(te, src, dst, rel, attributes) for each window end.
+def dynamic_edges(panel: DataFrame, nodes: DataFrame, ends: DataFrame | None, threshold: float = 0.2, top_k: int = 8, market: str | None = None, lag: int = 5, slow_lag: int = 30, short: str = "lo_300", long: str = "lo_1800", ablate: bool = False, seq: int = 1) -> DataFrame:
+    """(te, src, dst, rel, attributes) for each window end; without ``ends`` for every one whose last ``seq`` rows lie
+    in its day.
 
-    panel: (ti, node, ret); nodes: (node, kind "equity" or "macro", sector) and, joined by node and te where given,
+    panel: (ti, node, ret), and day without ``ends``; nodes: (node, kind "equity" or "macro", sector) and, joined by node and te where given,
     spread, liquidity and residual. Without ``long`` rows over 30 the slow statistics are the fast ones. ``ablate``
     leaves self-loops alone."""
-    fast = pair_stats(panel, ends, short, lag, "").withColumnRenamed("ll", "lead_lag_5s").withColumnRenamed("beta", "beta_5m")
-    slow = pair_stats(panel, ends, long, slow_lag, "slow_").select("te", "i", "j", F.col("n").alias("slow_n"), "slow_beta", "slow_ll")
+    def stats(low: str, later: int, prefix: str) -> DataFrame:
+        return every_end_stats(panel, int(low.removeprefix("lo_")), later, prefix, seq) if ends is None else pair_stats(panel, ends, low, later, prefix)
+
+    fast = stats(short, lag, "").withColumnRenamed("ll", "lead_lag_5s").withColumnRenamed("beta", "beta_5m")
+    slow = stats(long, slow_lag, "slow_").select("te", "i", "j", F.col("n").alias("slow_n"), "slow_beta", "slow_ll")
     pairs = fast.join(slow, ["te", "i", "j"], "left")
     enough = F.col("slow_n") > 30
     pairs = pairs.withColumns({"beta_30m": F.when(enough, F.col("slow_beta")).otherwise(F.col("beta_5m")), "lead_lag_30s": F.when(enough, F.col("slow_ll")).otherwise(F.col("lead_lag_5s"))})

@@ -458,13 +458,17 @@ pair AS (SELECT te, i, j, corr, beta, coalesce(ll, 0.0) AS ll, substr(i, 2)::INT
 rel AS (SELECT *, CASE WHEN i = j THEN 0 WHEN ei AND mj AND (abs(corr) >= 0.1 OR abs(ll) >= 0.1) THEN 1 WHEN j = 'S0' AND ei THEN 6 WHEN ei AND nj < 6 AND ni % 2 = nj % 2 THEN 5 WHEN abs(ll) >= 0.1 THEN 4 WHEN corr <= -0.2 THEN 3 WHEN corr >= 0.2 THEN 2 END AS rel FROM pair)"""
 
 
-def _edges(spark: SparkSession, sf_dir: str, top_k: int) -> DataFrame:
+#: Fixed value: the last rows of a window that must lie in its end's day, the reference's sequence length.
+SEQ = 30
+
+
+def _edges(spark: SparkSession, sf_dir: str, top_k: int, every: bool = False) -> DataFrame:
     # read by every pair statistic: written once
     panel = written(_panel(spark, sf_dir).select("ti", "day", F.col("symbol").alias("node"), F.coalesce("ret_bps", F.lit(0.0)).alias("ret")), "panel")
     n = F.substring("node", 2, 3).cast("int")
     nodes = panel.select("node").distinct().select("node", F.when(n < 6, "equity").otherwise("macro").alias("kind"), (n % 2).alias("sector"))
-    ends = GR.window_ends(panel, (300, 1800), step=500, first=100)
-    return GR.dynamic_edges(panel, nodes, ends, top_k=top_k, market="S0")
+    ends = None if every else GR.window_ends(panel, (300, 1800), step=500, first=100)
+    return GR.dynamic_edges(panel, nodes, ends, top_k=top_k, market="S0", seq=SEQ)
 
 
 @query(f"WITH {_GRAPH} SELECT te, j AS src, i AS dst, rel, {r('corr', 4)}, {r('beta', 4, 'beta_5m')}, {r('ll', 4, 'lead_lag_5s')} FROM rel WHERE rel IS NOT NULL")
@@ -477,6 +481,16 @@ def edges_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir, 1).select(F.col("te").cast("long").alias("te"), "src", "dst", "rel")
 
 
+@query()
+def corr_edges_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(_edges(spark, sf_dir, 0, every=True), ["corr", "beta_5m", "lead_lag_5s"], [F.col("te").cast("long").alias("te"), "src", "dst", "rel"], 4)
+
+
+@query()
+def edges_topk_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir, 1, every=True).select(F.col("te").cast("long").alias("te"), "src", "dst", "rel")
+
+
 @query("SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
 def sector_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GR.sector_pairs(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey")

@@ -141,6 +141,17 @@ def test_graph_queries_cover_every_window_end(spark):
         assert set(got.te) == want and len(got) == 8 * len(want), name
 
 
+def test_every_bar_has_descriptors(spark):
+    from tests.conftest import SMALL
+
+    from tidebook.plans.queries import QUERIES, mids
+
+    bars = mids(spark, SMALL).groupBy("symbol").count().toPandas()
+    got = QUERIES["traj_descriptors_full"](spark, SMALL).groupBy("symbol").agg(F.count("*").alias("n"), F.count("slope").alias("slopes")).toPandas()
+    both = bars.merge(got, on="symbol")
+    assert (both.n == both["count"] - 1).all() and (both.slopes == both["count"] - 4).all()  # the first has no past; slopes take 4
+
+
 def test_newey_west_by_loop(spark):
     x = np.cumsum(np.random.default_rng(2).normal(size=120)) * 0.1 + 0.3
     for lags in (0, 1, 7, 500):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import windows as W
@@ -380,14 +380,26 @@ st AS (SELECT *, v - lag(v) OVER (PARTITION BY symbol, ts_event ORDER BY bar) AS
 ag AS (SELECT symbol, ts_event, count(v) AS n, regr_slope(v, x) AS slope, arg_max(v, bar) - arg_min(v, bar) AS net_change, count(d) AS nd, sum((d > 0)::INT) AS ups, sum(d) AS net, sum(abs(d)) AS path, var_pop(d) AS vd FROM st GROUP BY ALL)"""
 
 
-@query(f"WITH {_TRAJ} SELECT symbol, ts_event, {r('CASE WHEN n >= 4 THEN slope END', 2, 'slope')}, {r('CASE WHEN n >= 2 THEN net_change END', 5, 'net_change')}, {r('CASE WHEN nd >= 5 THEN ups / nd END', 6, 'monotonicity')}, {r('CASE WHEN nd >= 5 AND path > 0 THEN abs(net) / path END', 5, 'efficiency')}, {r('CASE WHEN nd >= 5 AND vd > 1e-24 THEN abs(net) / sqrt(vd) END', 4, 'drift_vol')} FROM ag")
-def traj_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _descriptors(spark: SparkSession, sf_dir: str, anchor: Column) -> DataFrame:
     bar = F.row_number().over(Window.partitionBy("symbol").orderBy("ts_event")) - 1
-    df = mids(spark, sf_dir).withColumn("bar", bar).withColumn("is_anchor", (F.col("bar") % 50 == 0) & (F.col("bar") > 0))
+    df = mids(spark, sf_dir).withColumn("bar", bar).withColumn("is_anchor", anchor)
     df = TR.with_descriptors(TR.with_trajectories(df, "mid_price", 10, -1))
     return df.select(*KEY, *[rounded(c, d).alias(c) for c, d in (("slope", 2), ("net_change", 5), ("monotonicity", 6), ("efficiency", 5), ("drift_vol", 4))])
 
 
+@query(f"WITH {_TRAJ} SELECT symbol, ts_event, {r('CASE WHEN n >= 4 THEN slope END', 2, 'slope')}, {r('CASE WHEN n >= 2 THEN net_change END', 5, 'net_change')}, {r('CASE WHEN nd >= 5 THEN ups / nd END', 6, 'monotonicity')}, {r('CASE WHEN nd >= 5 AND path > 0 THEN abs(net) / path END', 5, 'efficiency')}, {r('CASE WHEN nd >= 5 AND vd > 1e-24 THEN abs(net) / sqrt(vd) END', 4, 'drift_vol')} FROM ag")
+def traj_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _descriptors(spark, sf_dir, (F.col("bar") % 50 == 0) & (F.col("bar") > 0))
+
+
+_TRAJ_FULL = _TRAJ.replace(" WHERE a.bar % 50 = 0", "")
+
+
+@query(f"WITH {_TRAJ_FULL} SELECT symbol, ts_event, {r('CASE WHEN n >= 4 THEN slope END', 2, 'slope')}, {r('CASE WHEN n >= 2 THEN net_change END', 5, 'net_change')}, {r('CASE WHEN nd >= 5 THEN ups / nd END', 6, 'monotonicity')}, {r('CASE WHEN nd >= 5 AND path > 0 THEN abs(net) / path END', 5, 'efficiency')}, {r('CASE WHEN nd >= 5 AND vd > 1e-24 THEN abs(net) / sqrt(vd) END', 4, 'drift_vol')} FROM ag")
+def traj_descriptors_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _descriptors(spark, sf_dir, F.col("bar") > 0)
+
+
 _LIFT = f"""{MID_SQL}, d0 AS (SELECT obi, fwd FROM (SELECT (bid_sz_00 - ask_sz_00) / (bid_sz_00 + ask_sz_00) AS obi, lead(mid_price, 6) OVER ({WIN}) / nullif(mid_price, 0) - 1 AS fwd FROM f2) WHERE fwd IS NOT NULL),
 q AS (SELECT quantile_cont(obi, 0.9) AS hi, quantile_cont(obi, 0.1) AS lo, avg(fwd) AS m, stddev_samp(fwd) AS s, count(*) AS n FROM d0),
 sides AS (SELECT 'long' AS direction, fwd, m, s, n, 1 AS want FROM d0, q WHERE obi >= hi UNION ALL SELECT 'short', fwd, m, s, n, -1 FROM d0, q WHERE obi <= lo)"""

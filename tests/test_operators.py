@@ -152,6 +152,25 @@ def test_every_bar_has_descriptors(spark):
     assert (both.n == both["count"] - 1).all() and (both.slopes == both["count"] - 4).all()  # the first has no past; slopes take 4
 
 
+def test_macro_row_is_the_last_one(spark):
+    from tests.conftest import SMALL
+
+    from tidebook.plans.queries import QUERIES, mids
+
+    times = np.sort(mids(spark, SMALL).where("symbol = 'S7'").select("ts_event").toPandas().ts_event.to_numpy())
+    got = QUERIES["asof_macro_full"](spark, SMALL).select("ts_event", "ts_ES").toPandas()
+    at = np.searchsorted(times, got.ts_event.to_numpy(), "right") - 1
+    want = np.where(at >= 0, times[np.maximum(at, 0)], -1)
+    assert (got.ts_ES.fillna(-1).to_numpy() == want).all()
+
+
+def test_stale_flag_after_a_gap(spark):
+    left = spark.createDataFrame([(0, 4_000_000), (0, 6_000_000), (0, 6_001_000)], "date long, ts_event long")
+    right = spark.createDataFrame([(0, 1_000_000, 7.0)], "date long, ts_event long, v double")
+    rows = {r.ts_event: r for r in asof_join(left, right, "ES", ["v"]).collect()}
+    assert [(rows[t].ES_age_ms, rows[t].ES_stale_flag) for t in sorted(rows)] == [(3000, 0), (5000, 0), (5001, 1)]
+
+
 def test_newey_west_by_loop(spark):
     x = np.cumsum(np.random.default_rng(2).normal(size=120)) * 0.1 + 0.3
     for lags in (0, 1, 7, 500):

@@ -283,14 +283,26 @@ def warmup_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MACRO = f"macro AS (SELECT ts_event, max(mid_price) AS macro_mid FROM f2 WHERE symbol = 'S7' AND (ts_event // {WIDTH_US}) % 7 = 0 GROUP BY ts_event)"
 
 
-@query(f"WITH {MID_SQL}, {_MACRO} SELECT a.symbol, a.ts_event, {r('m.macro_mid', 6, 'ES_mid_price')}, m.ts_event AS ts_ES, coalesce((a.ts_event - m.ts_event) // 1000, 999999) AS ES_age_ms, (coalesce((a.ts_event - m.ts_event) // 1000, 999999) > 5000)::INT AS ES_stale_flag FROM f2 a ASOF LEFT JOIN macro m ON a.ts_event >= m.ts_event WHERE a.symbol <> 'S7'")
-def asof_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _macro_joined(spark: SparkSession, sf_dir: str, some: Column) -> DataFrame:
     df = mids(spark, sf_dir).select("symbol", "date", "ts_event", "mid_price")
-    right = df.where((F.col("symbol") == "S7") & (F.floor(F.col("ts_event") / WIDTH_US) % 7 == 0)).select("date", "ts_event", "mid_price")
+    right = df.where((F.col("symbol") == "S7") & some).select("date", "ts_event", "mid_price")
     joined = asof_join(df.where("symbol <> 'S7'"), right, "ES", ["mid_price"])
     return joined.select(*KEY, rounded("ES_mid_price").alias("ES_mid_price"), "ts_ES", "ES_age_ms", "ES_stale_flag")
 
 
+@query(f"WITH {MID_SQL}, {_MACRO} SELECT a.symbol, a.ts_event, {r('m.macro_mid', 6, 'ES_mid_price')}, m.ts_event AS ts_ES, coalesce((a.ts_event - m.ts_event) // 1000, 999999) AS ES_age_ms, (coalesce((a.ts_event - m.ts_event) // 1000, 999999) > 5000)::INT AS ES_stale_flag FROM f2 a ASOF LEFT JOIN macro m ON a.ts_event >= m.ts_event WHERE a.symbol <> 'S7'")
+def asof_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _macro_joined(spark, sf_dir, F.floor(F.col("ts_event") / WIDTH_US) % 7 == 0)
+
+
+_MACRO_FULL = _MACRO.replace(f" AND (ts_event // {WIDTH_US}) % 7 = 0", "")
+
+
+@query(SQL["asof_macro"].replace(_MACRO, _MACRO_FULL))
+def asof_macro_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _macro_joined(spark, sf_dir, F.lit(True))
+
+
 @query(f"WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders), l AS (SELECT l_shipdate, max(l_orderkey) AS k FROM lineitem GROUP BY 1) SELECT o.o_orderkey, l.k AS L_k FROM o ASOF LEFT JOIN l ON o.o_orderdate >= l.l_shipdate")
 def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", micros("o_orderdate").alias("ts_event"))

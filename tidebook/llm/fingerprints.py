@@ -100,9 +100,10 @@ def with_difference(df: DataFrame, name: str, a: str, b: str, a_cells: str, b_ce
 
 def likeness(difference: str, a: str, b: str) -> Column:
     """1 minus the share of the two texts' paragraphs that differ; 1 without paragraphs. Should even the largest
-    sketch fail, all paragraphs that did not come out count as different."""
+    sketch fail, the difference is taken from the digests themselves."""
     total = F.size(a) + F.size(b)
-    apart = F.when(F.size(F.col(difference)["cells"]) == 0, F.size(F.col(difference)["found"])).otherwise(total)
+    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    apart = F.when(F.size(F.col(difference)["cells"]) == 0, F.size(F.col(difference)["found"])).otherwise(exact)
     return F.when(total == 0, F.lit(1.0)).otherwise(1 - apart / total)
 
 

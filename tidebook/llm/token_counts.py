@@ -1,13 +1,19 @@
-"""Token counts from a compiled tokenizer: chunk state maps of each text, composed by a prefix scan."""
+"""Token counts from a compiled tokenizer: state maps of each text's chunks, composed by a prefix scan.
+
+The machine reads characters. Its state is the kind of pre-token that is open, the transducer's state in it and the
+characters whose pre-token the next ones decide. A chunk's map gives, for a state before the chunk, the state after it
+and the tokens between. At a break the open pre-token ends whatever came before, so maps of all states meet there.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import pre_tokenizers
 
 from tidebook.llm.kernels import blocks
 from tidebook.llm.runtime import id_text, small_batches
@@ -16,14 +22,52 @@ from tidebook.llm.vocab import units
 
 #: Fixed value: how byte-level vocabularies of this family cut a text before merging.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Places where the transducer is in its start state whatever came before: before a space or line end between words.
-RESETS = regex.compile(r"(?<=\S)(?=[ \n]\S)")
-CHUNK = 1 << 16
+#: The pattern's endings after an apostrophe that opens a pre-token.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+KINDS = regex.compile(r"(\s)|(\p{L})|(\p{N})")
+#: Before a space or line end between words.
+WORD_BREAK = regex.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Two characters between which every pre-token ends; the second opens one as at a text's start.
+BREAK = regex.compile(r"\S\s|\p{L}[^\s\p{L}\p{N}']")
+LAST_BREAK = regex.compile("(?r)" + BREAK.pattern)
+#: Characters of a chunk, and those before an unbroken chunk from which its entry state is guessed.
+CHUNK, LOOK = 1 << 14, 64
 REMEMBERED = 250_000
 
-#: The state map of a chunk: text up to its first reset, tokens between its resets, text after the last.
-#: Without a reset the whole chunk is the first part and the number is None.
-StateMap = tuple[str, int | None, str]
+#: What is open (a kind, an apostrophe "'" or nothing), the transducer's state, and characters not yet taken.
+State = tuple[str, int | tuple, str]
+START: State = ("", 0, "")
+
+
+class Kinds(dict):
+    """w, l, n or o: white space, letter, number or other, as the library's own pre-tokenizer has it. ``odd`` are the
+    characters met that this process's patterns take for another kind, being of another Unicode version."""
+
+    def __init__(self):
+        super().__init__()
+        self.odd: set[str] = set()
+        self.cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+
+    def __missing__(self, c: str) -> str:
+        spans = [s for _, s in self.cut(f"a{c}1{c}!{c} x")]
+        kind = "l" if (0, 2) in spans else "n" if (1, 4) in spans else "o" if (3, 6) in spans else "w"
+        found = KINDS.match(c)
+        if kind != ("wln"[found.lastindex - 1] if found else "o"):
+            self.odd.add(c)
+        self[c] = kind
+        return kind
+
+    def regular(self, text: str) -> bool:
+        """Whether the patterns see this text as the library does."""
+        if text.isascii():
+            return True
+        letters = set(text)
+        for c in letters - self.keys():
+            self[c]
+        return not self.odd or self.odd.isdisjoint(letters)
+
+
+KINDS_OF = Kinds()
 
 
 class Counter(dict):
@@ -33,14 +77,11 @@ class Counter(dict):
         super().__init__()
         self.older: dict[str, int] = {}
         self.transducer = byte_level_transducer(path)
-        special = self.transducer.special
+        special = sorted(self.transducer.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def unit(self, text: str) -> int:
-        """Tokens of a text that begins at a reset: the pattern's pieces, each run through the transducer."""
-        if self.special and self.special.search(text):
-            parts = self.special.split(text)
-            return len(parts) // 2 + sum(map(self.unit, parts[::2]))
+        """Tokens of a text that begins and ends at breaks: the pattern's pieces, each run through the transducer."""
         return sum(self.transducer.count(p.encode()) for p in PATTERN.findall(text))
 
     def __missing__(self, word: str) -> int:
@@ -55,35 +96,116 @@ class Counter(dict):
         return n
 
     def between(self, text: str) -> int:
-        """Tokens of a text that begins and ends at resets."""
+        """Tokens of a text that begins and ends at breaks."""
+        first = 0 if text[:1] in (" ", "\n") and KINDS_OF[text[1:2] or " "] != "w" else None
+        if first is None:
+            found = WORD_BREAK.search(text)
+            first = found.start() if found else len(text)
+        n, text = self.unit(text[:first]), text[first:]
         words = units("." + text)
         if words is None:
-            return sum(self[u[1:] if u[0] == " " else u] for u in RESETS.split(text) if u)
-        return sum(map(self.__getitem__, words[1:]))
-
-    def state_map(self, chunk: str) -> StateMap:
-        first = RESETS.search(chunk)
-        if first is None:
-            return chunk, None, ""
-        a, b = first.start(), len(chunk)
-        while True:
-            b = max(chunk.rfind(" ", 0, b), chunk.rfind("\n", 0, b))
-            if b + 1 < len(chunk) and not chunk[b - 1].isspace() and not chunk[b + 1].isspace():
-                return chunk[:a], self.between(chunk[a:b]), chunk[b:]
-
-    def compose(self, x: StateMap, y: StateMap) -> StateMap:
-        if x[1] is None:
-            return x[0] + y[0], y[1], y[2]
-        if y[1] is None:
-            return x[0], x[1], x[2] + y[0]
-        return x[0], x[1] + self.unit(x[2] + y[0]) + y[1], y[2]
-
-    def text(self, text: str) -> int:
-        maps = [self.state_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+            return n + sum(self[u[1:] if u[0] == " " else u] for u in WORD_BREAK.split(text) if u)
+        return n + sum(map(self.__getitem__, words[1:]))
+
+    def step(self, state: State, c: str) -> tuple[State, int]:
+        """The state after a character and the tokens that came with it."""
+        (mode, at, held), kind, run = state, KINDS_OF[c], self.transducer.run
+        n = 0
+        if mode == "w":  # the last white space of a run is held back: a space opens the next pre-token
+            if kind == "w":
+                at, n = run(at, held.encode())
+                return ("w", at, c), n
+            if held == " ":
+                at, n = run(0, (held + c).encode())
+                return (kind, at, ""), n
+            n = run(0, held.encode())[1]
+            mode = ""
+        elif mode == "'":
+            if held + c in ENDINGS:
+                return START, run(at, (held + c).encode())[1]
+            if not held and c in "rvl":
+                return (mode, at, c), 0
+            if held:  # no ending: the letter opens a pre-token
+                at, n = run(0, held.encode())
+            mode, held = ("l" if held else "o"), ""
+        if kind == "w":
+            return ("w", 0, c), n
+        now, more = run(at if kind == mode else 0, c.encode())
+        return ("'" if not mode and c == "'" or mode in "ln" and c == "'" else kind, now, ""), n + more
+
+    def finish(self, state: State) -> int:
+        """Tokens of what a state holds back, where a text ends."""
+        mode, at, held = state
+        return self.transducer.run(at if mode == "w" else 0, held.encode())[1]
+
+    def walk(self, state: State, text: str) -> tuple[State, int]:
+        n = 0
+        for c in text:
+            state, more = self.step(state, c)
+            n += more
+        return state, n
+
+    def segment(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        maps: list[StateMap] = []
+        regular = KINDS_OF.regular(text)
+        for i in range(0, len(text), CHUNK):
+            maps.append(chunk_map(self, text[i : i + CHUNK], regular))
+            # tabulated before the scan: the state that the chunk before surely or probably leaves
+            maps[-1](START if not i else maps[-2].leaves if maps[-2].leaves else self.walk(START, text[max(0, i - LOOK) : i])[0])
         if not maps:
             return 0
-        head, n, tail = scan(maps, self.compose)[-1]
-        return self.unit(head) + (n or 0) + self.unit(tail)
+        state, n = scan(maps, compose)[-1](START)
+        return n + self.finish(state)
+
+    def text(self, text: str) -> int:
+        if self.special and self.special.search(text):
+            parts = self.special.split(text)
+            return len(parts) // 2 + sum(map(self.segment, parts[::2]))
+        return self.segment(text)
+
+
+class StateMap:
+    """From the state before a stretch to (the state after it, its tokens): a table that fills as states are asked for.
+    ``leaves``: the state after it where that is the same for all."""
+
+    def __init__(self, find: Callable[[State], tuple[State, int]], leaves: State | None = None):
+        self.table: dict[State, tuple[State, int]] = {}
+        self.find, self.leaves = find, leaves
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        found = self.table.get(state)
+        if found is None:
+            found = self.table[state] = self.find(state)
+        return found
+
+
+def chunk_map(counter: Counter, chunk: str, regular: bool = True) -> StateMap:
+    """``regular``: the patterns may be used; else the chunk is walked from each state that is asked for."""
+    first = BREAK.search(chunk) if regular else None
+    if first is None:
+        return StateMap(lambda state: counter.walk(state, chunk))
+    a, b = first.start() + 1, LAST_BREAK.search(chunk).start() + 1
+    leaves, tail = counter.walk(START, chunk[b:])
+    rest = counter.between(chunk[a:b]) + tail
+
+    def find(state: State) -> tuple[State, int]:
+        state, n = counter.walk(state, chunk[:a])
+        return leaves, n + counter.finish(state) + rest
+
+    return StateMap(find, leaves)
+
+
+def compose(x: StateMap, y: StateMap) -> StateMap:
+    def find(state: State) -> tuple[State, int]:
+        between, n = x(state)
+        after, m = y(between)
+        return after, n + m
+
+    both = StateMap(find, y.leaves)
+    for state in x.table:
+        both(state)
+    return both
 
 
 @cache

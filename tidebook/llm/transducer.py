@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Hashable, Sequence
 from functools import cache
 
-#: States that are kept; texts that leave them are followed state by state.
+#: States that are numbered; texts that leave them are followed state by state.
 MOST_STATES = 100_000
 
 
@@ -153,43 +153,36 @@ class Transducer:
         token, change = last
         return (*((n, b, k - change) for n, b, k in live), (0, token, 0)), change, token
 
-    def count(self, text: Sequence) -> int:
-        """Tokens in the encoding of one pre-token; every symbol of the text must be a piece.
-
-        Once MOST_STATES states are built no more are kept: the text is followed through states made for it alone
-        until it comes to a kept one again."""
-        state, n, moves = 0, 0, self.moves
-        for i, c in enumerate(text):
-            move = moves[state].get(c)
-            if move is None:
-                live, change, _ = self.step(self.states[state], c)
-                to = self.number.get(live)
-                if to is None:
-                    if len(self.states) >= MOST_STATES:
-                        return n + change + self._loose(live, text[i + 1 :])
-                    to = self.number[live] = len(self.states)
-                    self.states.append(live)
-                    moves.append({})
-                move = moves[state][c] = (to, change)
-            state = move[0]
-            n += move[1]
-        return n
-
-    def _loose(self, live: tuple, text: Sequence) -> int:
-        n = 0
-        for i, c in enumerate(text):
-            live, change, _ = self.step(live, c)
+    def move(self, state: int | tuple, c) -> tuple[int | tuple, int]:
+        """The state after a symbol and the change of the token count. Once MOST_STATES states are built no more are
+        numbered: further ones are passed on as they are, until a numbered one is met again."""
+        kept = state.__class__ is int
+        known = self.moves[state].get(c) if kept else None
+        if known is not None:
+            return known
+        live, change, _ = self.step(self.states[state] if kept else state, c)
+        to = self.number.get(live)
+        if to is None and len(self.states) < MOST_STATES:
+            to = self.number[live] = len(self.states)
+            self.states.append(live)
+            self.moves.append({})
+        if to is None:
+            return live, change
+        if kept:
+            self.moves[state][c] = to, change
+        return to, change
+
+    def run(self, state: int | tuple, text: Sequence) -> tuple[int | tuple, int]:
+        """The state after some symbols and the change of the token count."""
+        n, moves = 0, self.moves
+        for c in text:
+            state, change = (moves[state].get(c) if state.__class__ is int else None) or self.move(state, c)
             n += change
-            state = self.number.get(live)
-            if state is not None:
-                for j in range(i + 1, len(text)):
-                    move = self.moves[state].get(text[j])
-                    if move is None:
-                        return n + self._loose(self.states[state], text[j:])
-                    state = move[0]
-                    n += move[1]
-                return n
-        return n
+        return state, n
+
+    def count(self, text: Sequence) -> int:
+        """Tokens in the encoding of one pre-token; every symbol of the text must be a piece."""
+        return self.run(0, text)[1]
 
     def encode(self, text: Sequence) -> list[int]:
         """The ids of one pre-token: the one path of finite weight through the text composed with the pieces, read

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.runtime import written
+from tidebook.llm.runtime import returns_memory, written
 
-#: Edges that one task holds: a smaller table is worked on in one partition, where no step has to shuffle.
-PER_TASK = 400_000
+#: Edges that a task contracts at once.
+AT_ONCE = 200_000
 
 
 def _pairs(*pairs: tuple[Column | str, Column | str]) -> Column:
@@ -31,22 +35,55 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return joined.select(_pairs(("v", "m"), ("u", "m"))).select("e.*").where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Edges (u, v) of long node ids to (node, component): the least node id reachable. Nodes without an edge to
-    another node are not returned. Null ends, loops and repeated edges are ignored; no edges give no rows.
-    The rounds end when an alternation leaves the edge table unchanged (row count and checksum)."""
+def contracted(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
+    """The same connections as edges from each node to the least node that these edges join it to."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        up = root.setdefault(x, x)
+        while up != x:
+            root[x] = up = root[up]
+            x, up = up, root[up]
+        return x
+
+    for a, b in zip(u, v, strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    nodes = [x for x in root if top(x) != x]
+    return nodes, [top(x) for x in nodes]
+
 
-    def sized(df: DataFrame, rows: int) -> DataFrame:
-        return df.coalesce(1) if rows <= PER_TASK else df
+@returns_memory
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contracts AT_ONCE edges of a partition at a time, before anything is shuffled."""
+    us, vs, held = [], [], 0
 
-    now = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    size, mark = now.count(), None
-    for _ in range(most_rounds):
-        now = written(_star(_star(sized(now, size), True), False), "cc")
+    def flush() -> pa.RecordBatch:
+        u, v = contracted(np.concatenate(us).tolist(), np.concatenate(vs).tolist())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        us.append(batch.column("u").to_numpy(zero_copy_only=False))
+        vs.append(batch.column("v").to_numpy(zero_copy_only=False))
+        held += batch.num_rows
+        if held >= AT_ONCE:
+            yield flush()
+            us, vs, held = [], [], 0
+    if held:
+        yield flush()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) of long node ids to (node, component): the least node id reachable. Nodes without an edge to
+    another node are not returned. Null ends, loops and repeated edges are ignored; no edges give no rows.
+    Each partition contracts its own edges before a round; rounds go on until an alternation leaves the edge table
+    unchanged (row count and checksum)."""
+    now, mark = edges.where("u is not null and v is not null and u <> v").select("u", "v"), None
+    while True:
+        now = written(_star(_star(now.mapInArrow(_contract, "u long, v long"), True), False), "cc")
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark or not seen[0]:
             break
-        size, mark = seen[0], seen
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return sized(now, size).select(_pairs(("u", "v"), ("v", "v"))).select(F.col("e.u").alias("node"), F.col("e.v").alias("component")).distinct()
+        mark = seen
+    return now.select(_pairs(("u", "v"), ("v", "v"))).select(F.col("e.u").alias("node"), F.col("e.v").alias("component")).distinct()

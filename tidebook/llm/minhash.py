@@ -31,9 +31,11 @@ SIGNATURE_LEAST = 0.58
 #: Partners of one pivot that are verified in one task; a pivot with more is dealt out by salt.
 PER_PIVOT = 2000
 #: A bucket's members outside its largest component: held at once, and so many that a bucket is split before.
-BLOCK, MANY = 512, 4096
+BLOCK, MANY = 256, 4096
 #: Members of a bucket that stream past a block in one task.
-PER_SALT = 8192
+PER_SALT = 1024
+#: Partners that a member tries in the first round after the pivots, and how many more in each further one.
+TRIES, MORE_TRIES = 1, 8
 
 
 def signatures(sets: np.ndarray, off: np.ndarray, family: int = 0) -> np.ndarray:
@@ -151,31 +153,43 @@ def confirmed(pairs: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
     return written(dealt.mapInArrow(_confirm(percent), "u long, v long"), "links")
 
 
-@returns_memory
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a held and a streamed member of one bucket, of different components, whose signatures agree."""
+def _across(tries: int):
+    """For each streamed member of a bucket the ``tries`` held members of other components whose signatures agree most
+    with its own; a row of nulls where a member has more that agree."""
     least = int(np.ceil(SIGNATURE_LEAST * N_HASHES))
-    key, docs, parts, held = None, [], [], None
-    for batch in batches:
-        rows = [batch.column(c).to_pylist() for c in ("bucket", "block", "salt", "side", "doc_id", "component")]
-        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, N_HASHES)
-        us, vs = [], []
-        for i, (bucket, block, salt, side, doc, component) in enumerate(zip(*rows, strict=True)):
-            if key != (bucket, block, salt):
-                key, docs, parts, held = (bucket, block, salt), [], [], []
-            if side == 0:
-                docs.append(doc)
-                parts.append(component)
-                held.append(sig[i].copy())
-                continue
-            if isinstance(held, list):
-                if not held:
+
+    @returns_memory
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, docs, parts, held = None, [], [], []
+        for batch in batches:
+            rows = [batch.column(c).to_pylist() for c in ("bucket", "block", "salt", "side", "doc_id", "component")]
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, N_HASHES)
+            us, vs, more = [], [], False
+            for i, (bucket, block, salt, side, doc, component) in enumerate(zip(*rows, strict=True)):
+                if key != (bucket, block, salt):
+                    key, docs, parts, held = (bucket, block, salt), [], [], []
+                if side == 0:
+                    docs.append(doc)
+                    parts.append(component)
+                    held.append(sig[i].copy())
                     continue
-                held, docs, parts = np.stack(held), np.array(docs), np.array(parts)
-            found = np.flatnonzero((parts != component) & ((held == sig[i]).sum(axis=1) >= least))
-            us += np.minimum(docs[found], doc).tolist()
-            vs += np.maximum(docs[found], doc).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                if isinstance(held, list):
+                    if not held:
+                        continue
+                    held, docs, parts = np.stack(held), np.array(docs), np.array(parts)
+                agree = (held == sig[i]).sum(axis=1)
+                found = np.flatnonzero((parts != component) & (agree >= least))
+                if len(found) > tries:
+                    more = True
+                    found = found[np.argsort(-agree[found], kind="stable")[:tries]]
+                us += np.minimum(docs[found], doc).tolist()
+                vs += np.maximum(docs[found], doc).tolist()
+            if more:
+                us.append(None)
+                vs.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return run
 
 
 def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -188,32 +202,55 @@ def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(mixed.select("bucket", "home", "total", (F.col("total") - F.col("most")).alias("minority")), "bucket")
 
 
-def _missed(buckets: DataFrame, parts: DataFrame, crowd: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) that the pivots left: two members of one bucket, in different components, with agreeing
-    signatures. Members outside a bucket's largest component are held in blocks of BLOCK, and all members stream past
-    each block, dealt out by salt. A bucket with over MANY such members is split before, by the bands of the next
-    family: two of its members meet again if they share a band there too."""
+def _split(buckets: DataFrame, parts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(bucket, doc_id) of the buckets of several components. A bucket with over MANY members outside its largest
+    component is split by the bands of the next family: two of its members meet again if they share a band there too.
+    What the last family leaves large stays whole."""
+    rows, out = _mixed(buckets, parts), None
+    for family in range(1, len(FAMILIES)):
+        rows = written(rows, "mixed")
+        small, large = (rows.where(c).select("bucket", "doc_id") for c in (F.col("minority") <= MANY, F.col("minority") > MANY))
+        out = small if out is None else out.union(small)
+        if large.isEmpty():
+            return out
+        again = large.select("doc_id").distinct().join(crowd.select("doc_id", "text"), "doc_id").mapInArrow(_resigned(family), "doc_id long, signature binary").mapInArrow(_bands, "band long, doc_id long")
+        finer = large.join(again, "doc_id").select(F.xxhash64("bucket", "band").alias("bucket"), "doc_id").distinct()
+        rows = _mixed(finer, parts)
+    return written(out.union(rows.select("bucket", "doc_id")), "mixed")
+
+
+def _candidates(buckets: DataFrame, parts: DataFrame, crowd: DataFrame, tries: int) -> DataFrame:
+    """Pairs (u, v) of members of one bucket, in different components, with agreeing signatures: for each member the
+    ``tries`` most alike. Members outside a bucket's largest component are held in blocks of BLOCK, and all members
+    stream past each block, dealt out by salt. A row of nulls says that some member has more."""
     spark = crowd.sparkSession
-    rows = written(_mixed(buckets, parts), "mixed")
-    signed = crowd.select("doc_id", "signature")
-    out = None
-    for family in range(1, len(FAMILIES) + 1):
-        last = family == len(FAMILIES)
-        now = rows if last else rows.where(F.col("minority") <= MANY)
-        n_blocks, n_salts = (F.ceil(F.col(c) / size).cast("int") for c, size in (("minority", BLOCK), ("total", PER_SALT)))
-        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n).cast("int")
-        held = now.where("component <> home").select("bucket", place(n_blocks, 1).alias("block"), each(n_salts).alias("salt"), F.lit(0).alias("side"), "doc_id", "component")
-        past = now.select("bucket", each(n_blocks).alias("block"), place(n_salts, 2).alias("salt"), F.lit(1).alias("side"), "doc_id", "component")
-        dealt = held.union(past).join(signed, "doc_id").repartition(partitions(spark), "bucket", "block", "salt").sortWithinPartitions("bucket", "block", "salt", "side")
-        found = written(dealt.mapInArrow(_across, "u long, v long").distinct(), "missed")
-        out = found if out is None else out.union(found)
-        rows = rows.where(F.col("minority") > MANY)
-        if last or rows.isEmpty():
-            return out.distinct()
-        again = rows.select("doc_id").distinct().join(crowd.select("doc_id", "text"), "doc_id").mapInArrow(_resigned(family), "doc_id long, signature binary").mapInArrow(_bands, "bucket long, doc_id long")
-        finer = rows.select("bucket", "doc_id").join(again.withColumnRenamed("bucket", "band"), "doc_id").select(F.xxhash64("bucket", "band").alias("bucket"), "doc_id").distinct()
-        rows = written(_mixed(finer, parts), "mixed")
+    now = _mixed(buckets, parts)
+    n_blocks, n_salts = (F.ceil(F.col(c) / size).cast("int") for c, size in (("minority", BLOCK), ("total", PER_SALT)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n).cast("int")
+    held = now.where("component <> home").select("bucket", place(n_blocks, 1).alias("block"), each(n_salts).alias("salt"), F.lit(0).alias("side"), "doc_id", "component")
+    past = now.select("bucket", each(n_blocks).alias("block"), place(n_salts, 2).alias("salt"), F.lit(1).alias("side"), "doc_id", "component")
+    dealt = held.union(past).join(crowd.select("doc_id", "signature"), "doc_id").repartition(partitions(spark), "bucket", "block", "salt").sortWithinPartitions("bucket", "block", "salt", "side")
+    return written(dealt.mapInArrow(_across(tries), "u long, v long").distinct(), "candidates")
+
+
+def _settled(pairs: DataFrame, links: DataFrame, buckets: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """(node, component) when no two members of one bucket with agreeing signatures are left untried in different
+    components. Each round tries every member's most alike outsiders, so groups grow together before many are tried;
+    ``pairs`` were tried before, and ``links`` are those of them that hold."""
+    parts = written(connected_components(links), "components")
+    buckets, tries = _split(buckets, parts, crowd), TRIES
+    tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    while True:
+        found = _candidates(buckets, parts, crowd, tries)
+        fresh = written(found.where("u is not null").join(tried, ["u", "v"], "left_anti"), "pairs")
+        late = confirmed(fresh, crowd, percent)
+        if not late.isEmpty():
+            links = links.union(late)
+            parts = written(connected_components(links), "components")
+        if found.where("u is null").isEmpty():
+            return parts
+        tried, tries = tried.union(fresh), tries * MORE_TRIES
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, text_hash: bool = False) -> DataFrame:
@@ -229,8 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        members with a hashed pivot, another one in each band, so pairs grow with members, not with their square.
     3. Pairs pass a signature check, then the full sets, recomputed from the texts, decide.
     4. Components come from alternating large-star and small-star. Where a bucket still holds several components, the
-       members outside its largest one are compared with all its members by signature, and what agrees by full sets:
-       no link is lost to the pivots.
+       members outside its largest one are compared with all its members by signature, and what agrees by full sets,
+       the most alike first, until all that agrees is tried or joined: no link is lost to the pivots.
 
     Defined cases: null or wordless texts have n_shingles 0 and link with nothing; a null doc_id gives component_id
     null and kept true; rows that repeat a doc_id each return the component of their own text's class, and classes
@@ -258,12 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pivots = crowded.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("u"))
     pairs = written(crowded.join(pivots, "bucket").select("u", F.col("doc_id").alias("v")).where("u <> v").distinct(), "stars")
-    links = confirmed(alike(pairs, crowd), crowd, percent)
-    parts = written(connected_components(links), "components")
-    missed = _missed(crowded.select("bucket", "doc_id"), parts, crowd)
-    late = confirmed(written(missed, "pairs"), crowd, percent)
-    if not late.isEmpty():
-        parts = written(connected_components(links.union(late)), "components")
+    pairs = alike(pairs, crowd)
+    parts = _settled(pairs, confirmed(pairs, crowd, percent), crowded.select("bucket", "doc_id"), crowd, percent)
 
     resolved = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component"))
     out = salted.drop("signature").join(resolved, ["set_key", "salt"], "left")

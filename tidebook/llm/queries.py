@@ -31,12 +31,6 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents"), digests=True)
 
 
-def op3_repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidebook.llm.repeat_groups import repeat_groups
-
-    return repeat_groups(_table(spark, sf_dir, "documents"))
-
-
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidebook.llm.quality import quality_scores
 
@@ -98,7 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_counts,
     )
 }
-#: Further queries, which return more of what an operator finds.
-MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_repeat_groups": op3_repeat_groups}
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {}

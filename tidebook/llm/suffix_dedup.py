@@ -7,12 +7,12 @@ equalities can be found among the surroundings of equal anchors:
 1. Texts are packed into blocks of about a megabyte; each pack sends its anchors' hashes, once each, to where they are
    counted, and learns which of them other documents hold.
 2. Each pack sends the surroundings of those anchors (up to LEAST bytes to either side, so that every window that
-   holds the anchor is inside). Equal surroundings are settled within a pack first: only the smallest document's goes
-   on, so a passage shared by any number of documents is sent at most once a pack.
-3. Where surroundings of one anchor differ, their suffixes form an enhanced suffix array; the common-prefix interval
-   tree gives the maximal repeats of at least LEAST bytes with all their occurrences, and each occurrence in a
-   document that isn't the smallest is to be removed.
-4. The spans go back to the packs, whose documents are cut.
+   holds the anchor is inside), once each however many of its documents hold them, with the smallest such document.
+3. The suffixes of all surroundings of an anchor form an enhanced suffix array, in which a surrounding that several
+   documents hold counts as several suffixes; the common-prefix interval tree gives the maximal repeats of at least
+   LEAST bytes. A group names its length, its smallest document and its occurrences as (pack, surrounding, place).
+4. Groups go back to the packs, which know the documents of each surrounding; occurrences outside a group's smallest
+   document are removed. No byte is removed but through a group.
 """
 
 from __future__ import annotations
@@ -30,15 +30,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidebook.llm.kernels import BYTE_VALUE, blocks, mix, prefix_hash, range_hash, utf8
-from tidebook.llm.runtime import partitions, returns_memory, small_batches
+from tidebook.llm.runtime import partitions, returns_memory, small_batches, written
 from tidebook.llm.suffix_array import NOTHING, intervals
 
 LEAST = 50
 K = 16
 SIDE = LEAST - K
 PACK_BYTES = 1 << 20
-#: Parts of the anchors' hashes for each shuffle partition.
+#: Parts of the anchors' hashes for each shuffle partition, at least, and surroundings of a part.
 PARTS = 6
+PER_PART = 250_000
 #: Longest stretch hashed at once: positions within it fit PLACE_BITS.
 PLACE_BITS = 21
 STRETCH = 1 << 18
@@ -223,13 +224,14 @@ def _hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def _classes(h: np.ndarray, alike: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the number of its class of equal surroundings of one anchor, and the class's smallest document."""
+def _classes(h: np.ndarray, alike: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the number of its class of equal surroundings of one anchor, the rows by class, and where classes
+    begin among them."""
     order = np.lexsort((alike, h))
     first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (alike[order][1:] != alike[order][:-1])])
     number = np.empty(len(h), np.int64)
     number[order] = np.cumsum(first) - 1
-    return number, np.minimum.reduceat(doc[order], np.flatnonzero(first))
+    return number, order, np.flatnonzero(first)
 
 
 def _gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -238,175 +240,207 @@ def _gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return buf[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)]
 
 
-def _spans_row(pack: int, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, bytes]:
-    order = np.lexsort((a, owner))
-    raw = np.concatenate([owner[order].astype(np.int64), a[order].astype(np.int64), b[order].astype(np.int64)])
-    return pack, _squeeze(raw.tobytes())
+def _alike(buf: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each surrounding and of the anchor's place in it."""
+    with np.errstate(over="ignore"):
+        return mix(_hash_ranges(buf, start, start + length) + place.astype(np.uint64) * np.uint64(1 << 20) + length.astype(np.uint64))
+
 
+def _surroundings(rows: pa.RecordBatch, lists: list[bytes]):
+    """Of a pack's shared anchors: bytes, offsets, document and place of each surrounding, the anchor's hash and place
+    in it, and the classes of equal ones."""
+    buf, off, ids, place, owner, h = _own_anchors(rows)
+    keep = np.isin(h & np.uint64(_KEY), np.concatenate([_from_six(x) for x in lists]))
+    place, owner, h = place[keep], owner[keep], h[keep]
+    if not len(h):
+        return None
+    lo, hi = np.maximum(off[owner], place - SIDE), np.minimum(off[owner + 1], place + LEAST)
+    return buf, off, ids[owner], lo, hi, h, place - lo, _classes(h, _alike(buf, lo, hi - lo, place - lo))
 
-_SURROUND = "part int, pack long, h binary, doc binary, owner binary, start binary, length binary, place binary, bytes binary, spans binary"
+
+_SURROUND = "part int, pack long, h binary, number binary, doc binary, several binary, length binary, place binary, bytes binary"
 
 
 def _surround(n: int) -> Callable:
     names = [c.split(" ")[0] for c in _SURROUND.split(", ")]
-    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 7
 
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, raw, lists in zip(*(batch.column(c).to_pylist() for c in ("pack", "rows", "keys")), strict=True):
-                if not lists:
+                found = _surroundings(_unpack(raw), lists) if lists else None
+                if found is None:
                     continue
-                buf, off, ids, place, owner, h = _own_anchors(_unpack(raw))
-                keep = np.isin(h & np.uint64(_KEY), np.concatenate([_from_six(x) for x in lists]))
-                place, owner, h = place[keep], owner[keep], h[keep]
-                if not len(h):
-                    continue
-                lo, hi = np.maximum(off[owner], place - SIDE), np.minimum(off[owner + 1], place + LEAST)
-                with np.errstate(over="ignore"):
-                    alike = mix(_hash_ranges(buf, lo, hi) + (place - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
-                doc = ids[owner]
-                number, least = _classes(h, alike, doc)
-                later = doc > least[number]
+                buf, _, doc, lo, hi, h, place, (_, order, first) = found
+                least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+                one = order[first]  # one surrounding of each class
+                part = ((h[one] >> np.uint64(48)) % np.uint64(n)).astype(np.int64)
+                by = np.argsort(part, kind="stable")
+                cut = [*np.flatnonzero(np.concatenate([[True], part[by][1:] != part[by][:-1]])).tolist(), len(part)]
                 rows = []
-                if later.any():  # settled here: a smaller document of this pack holds the same surroundings
-                    _, spans = _spans_row(pack, owner[later], (lo - off[owner])[later], (hi - off[owner])[later])
-                    rows.append((-1, pack, *[b""] * 7, spans))
-                order = np.argsort((h >> np.uint64(48)) % np.uint64(n), kind="stable")
-                order = order[~later[order]]
-                part = ((h[order] >> np.uint64(48)) % np.uint64(n)).astype(np.int64)
-                cut = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)] if len(part) else []
                 for a, b in zip(cut, cut[1:]):  # noqa: B905
-                    i = order[a:b]
-                    i = i[np.argsort(place[i])]
+                    c = by[a:b][np.argsort(lo[one[by[a:b]]])]
+                    i = one[c]
                     size = hi[i] - lo[i]
-                    numbers = (np.diff(doc[i], prepend=0), np.diff(owner[i], prepend=0).astype(np.int32), (lo - off[owner])[i], size.astype(np.uint8), (place - lo)[i].astype(np.uint8), _gather(buf, lo[i], size))
-                    rows.append((int(part[a]), pack, _six(h[i] & np.uint64(_KEY)), *(_squeeze(x.tobytes()) for x in numbers), b""))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    numbers = (c.astype(np.int32), np.diff(least[c], prepend=0), np.packbits(least[c] < most[c]), size.astype(np.uint8), place[i].astype(np.uint8), _gather(buf, lo[i], size))
+                    rows.append((int(part[c[0]]), pack, _six(h[i] & np.uint64(_KEY)), *(_squeeze(x.tobytes()) for x in numbers)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _repeats(buf: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray, place: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
-    """Maximal repeats among segments of equal anchors: (segment, offset, length) of each occurrence in a document
-    that is not the smallest of its repeat. A segment's suffixes count that begin at most ``place`` bytes in and are
-    at least LEAST long; those whose first LEAST bytes no other document's segment holds at the same place before the
-    anchor, or whose group a longer one to the left holds entirely, are left out of the array beforehand."""
-    n_each = np.minimum(length - LEAST, place) + 1
-    n_each[length < LEAST] = 0
-    seg = np.repeat(np.arange(len(length)), n_each)
+def _repeats(buf: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray, place: np.ndarray, doc: np.ndarray, several: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Maximal repeats among distinct surroundings of equal anchors, as (surrounding, place, length, smallest document)
+    of each occurrence that isn't the smallest document's alone. ``before``: how many bytes before the anchor the
+    suffixes begin that count here.
+
+    ``doc`` is a surrounding's smallest document, ``several`` whether others hold it too. Suffixes can only share LEAST
+    bytes if they begin at the same distance from their anchor, and those that do are neighbours by a hash of these
+    bytes; the array orders each such group by the bytes that follow. Left out beforehand are suffixes that one
+    document alone holds, and groups before which all have the same byte: a longer repeat to the left holds them. A
+    suffix alone in its group, held by several documents, is a leaf whose copies make an interval of their own."""
+    shift = place[:, None] - before[None, :]
+    seg, which = np.nonzero((shift >= 0) & (length[:, None] - shift >= LEAST))
+    none = (np.zeros(0, np.int64),) * 4
     if not len(seg):
-        return []
-    shift = np.arange(len(seg)) - np.repeat(np.cumsum(n_each) - n_each, n_each)
+        return none
+    shift = shift[seg, which]
     at = start[seg] + shift
     c = prefix_hash(BYTE_VALUE[buf])
     with np.errstate(over="ignore"):
-        key = mix(range_hash(c, at, at + LEAST) + h[seg] * np.uint64(0x9E3779B97F4A7C15) + (place[seg] - shift).astype(np.uint64))
+        key = mix(range_hash(c, at, at + LEAST) + h[seg] * np.uint64(0x9E3779B97F4A7C15) + before[which].astype(np.uint64))
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     size = np.diff(np.append(first, len(order)))
     left = np.where(shift > 0, buf[at - 1].astype(np.int64), NOTHING)
     d, x = doc[seg][order], left[order]
     low, high = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
-    wanted = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)) & ((low != high) | (low == NOTHING))
+    shared = np.logical_or.reduceat(several[seg][order], first) | (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))
+    wanted = shared & ((low != high) | (low == NOTHING))
+    leaf = order[first[wanted & (size == 1)]]
+    out = [np.column_stack([seg[leaf], shift[leaf], (length[seg] - shift)[leaf], doc[seg][leaf]])]
+    wanted &= size > 1
     chosen = order[np.repeat(wanted, size)]
-    out: list[tuple[int, int, int]] = []
-    if not len(chosen):
-        return out
-    room = (length[seg] - shift)[chosen]
-    width = -(-int(room.max()) // 8) * 8
-    cells = np.zeros((len(chosen), width), np.uint8)
-    columns = np.arange(width)
-    mask = columns < room[:, None]
-    cells[mask] = buf[np.minimum(at[chosen][:, None] + columns, len(buf) - 1)[mask]]
-    rows = cells.view(">u8").astype(np.uint64)
-    order = np.lexsort(rows.T[::-1])
-    cells, chosen, room = cells[order], chosen[order], room[order]
-    differ = cells[1:] != cells[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    common = np.concatenate([[0], np.minimum(common, np.minimum(room[1:], room[:-1]))])
-    before, docs, segs, shifts = left[chosen], doc[seg[chosen]].tolist(), seg[chosen].tolist(), shift[chosen].tolist()
-    for size_, a, b in intervals(common, before, LEAST):
-        least = min(docs[a : b + 1])
-        out += [(segs[k], shifts[k], size_) for k in range(a, b + 1) if docs[k] > least]
-    return out
-
-
-#: Segments whose suffixes are sorted at once.
+    if len(chosen):
+        group = np.repeat(np.arange(int(wanted.sum())), size[wanted])
+        room = (length[seg] - shift)[chosen]
+        width = -(-int(room.max()) // 8) * 8
+        cells = np.zeros((len(chosen), width), np.uint8)
+        columns = np.arange(width)
+        mask = columns < room[:, None]
+        cells[mask] = buf[np.minimum(at[chosen][:, None] + columns, len(buf) - 1)[mask]]
+        rows = cells.view(">u8").astype(np.uint64)[:, LEAST // 8 :]  # the bytes before are the group's
+        by = np.lexsort((*rows.T[::-1], group))
+        cells, chosen, room, group = cells[by], chosen[by], room[by], group[by]
+        differ = cells[1:] != cells[:-1]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        common = np.minimum(common, np.minimum(room[1:], room[:-1]))
+        common = np.concatenate([[0], np.where(group[1:] == group[:-1], common, 0)])
+        docs, many, lefts = doc[seg[chosen]], several[seg[chosen]], left[chosen]
+        found = [(n, a, b) for n, a, b in intervals(common, lefts, LEAST)]
+        # copies of a whole suffix that nothing stands before are an interval of their own
+        longest = np.maximum(common, np.append(common[1:], 0))
+        found += [(int(room[k]), k, k) for k in np.flatnonzero(many & (lefts == NOTHING) & (room > longest)).tolist()]
+        if found:
+            n, a, b = np.array(found, np.int64).T
+            least = np.array([docs[i : j + 1].min() for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+            k = _gather(np.arange(len(chosen)), a, b - a + 1)
+            n, least = np.repeat(n, b - a + 1), np.repeat(least, b - a + 1)
+            keep = (docs[k] > least) | many[k]
+            out.append(np.column_stack([seg[chosen[k]], shift[chosen[k]], n, least])[keep])
+    return tuple(np.concatenate(out).T)
+
+
+#: Surroundings whose suffixes are sorted at once.
 AT_ONCE = 6_000
+_FIELDS = {"number": np.int32, "doc": np.int64, "several": np.uint8, "length": np.uint8, "place": np.uint8, "bytes": np.uint8}
 
 
 @returns_memory
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spans to remove, by pack, a part of the anchors' hashes at a time."""
+    """The groups' occurrences by pack, a part of the anchors' hashes at a time: numbers of surroundings, places in
+    them, lengths, and the groups' smallest documents."""
     for rows in _by_part(batches):
-        if rows[0]["spans"]:
-            yield pa.RecordBatch.from_arrays([pa.array([r["pack"] for r in rows], pa.int64()), pa.array([r["spans"] for r in rows], pa.binary())], ["pack", "spans"])
-        else:
-            found = _settled(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["pack", "spans"])
+        found = _settled(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["pack", "groups"])
 
 
 def _settled(rows: list[dict]) -> list[tuple[int, bytes]]:
-    fields: dict[str, list] = {k: [] for k in ("pack", "h", "doc", "owner", "start", "length", "place", "bytes")}
+    fields: dict[str, list] = {k: [] for k in ("pack", "h", *_FIELDS)}
     for row in rows:
         h = _from_six(row["h"])
         fields["pack"].append(np.full(len(h), row["pack"], np.int64))
         fields["h"].append(h)
-        for k, t in (("doc", np.int64), ("owner", np.int32), ("start", np.int64), ("length", np.uint8), ("place", np.uint8)):
-            x = np.frombuffer(_expand(row[k]), t).astype(np.int64)
-            fields[k].append(np.cumsum(x) if k in ("doc", "owner") else x)
-        fields["bytes"].append(np.frombuffer(_expand(row["bytes"]), np.uint8))
-    pack, h, doc, owner, start, length, place, buf = (np.concatenate(fields.pop(k)) for k in list(fields))
+        for k, t in _FIELDS.items():
+            x = np.frombuffer(_expand(row[k]), t)
+            fields[k].append(np.cumsum(x) if k == "doc" else np.unpackbits(x)[: len(h)].astype(bool) if k == "several" else x if k == "bytes" else x.astype(np.int64))
+    pack, h, own, doc, several, length, place, buf = (np.concatenate(fields.pop(k)) for k in list(fields))
     at = np.cumsum(length) - length
-    with np.errstate(over="ignore"):
-        alike = mix(_hash_ranges(buf, at, at + length) + place.astype(np.uint64) * np.uint64(1 << 20) + length.astype(np.uint64))
-    number, least = _classes(h, alike, doc)
-    later = (doc > least[number]) & (length >= LEAST)
-    found = [(np.flatnonzero(later), np.zeros(int(later.sum()), np.int64), length[later])]
-    # one segment of each class, in the smallest document, where an anchor has several classes
-    own = np.flatnonzero(doc == least[number])
-    _, where = np.unique(number[own], return_index=True)
-    pick = own[where]
-    pick = pick[np.argsort(h[pick], kind="stable")]
-    same = h[pick][1:] == h[pick][:-1]
-    pick = pick[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(pick) > 1 else pick[:0]
-    by_class = np.argsort(number[own], kind="stable")
-    members, numbers = own[by_class], number[own][by_class]
-    a = 0
-    while a < len(pick):
-        b = min(a + AT_ONCE, len(pick))
-        while b < len(pick) and h[pick[b]] == h[pick[b - 1]]:
+    number, order, first = _classes(h, _alike(buf, at, length, place))
+    least = np.minimum.reduceat(doc[order], first)
+    several = np.logical_or.reduceat(several[order], first) | (least < np.maximum.reduceat(doc[order], first))
+    one = order[first]  # a surrounding of each class, by anchor
+    h, at, length, place = h[one], at[one], length[one], place[one]
+    # an anchor counts if several documents hold it, in one surrounding or in several
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    counts = np.diff(np.append(begin, len(h)))
+    keep = np.flatnonzero(np.repeat((counts > 1) | several[begin], counts))
+    found, a, every = [], 0, np.arange(SIDE + 1)
+    while a < len(keep):
+        b = min(a + AT_ONCE, len(keep))
+        while a < b < len(keep) and h[keep[b]] == h[keep[b - 1]] and h[keep[b]] != h[keep[a]]:
+            b -= 1
+        while b < len(keep) and h[keep[b]] == h[keep[b - 1]]:
             b += 1
-        i = pick[a:b]
+        i = keep[a:b]
         ends = np.cumsum(length[i])
-        got = np.array(_repeats(_gather(buf, at[i], length[i]), ends - length[i], length[i], h[i], place[i], doc[i]), np.int64).reshape(-1, 3)
-        if len(got):
-            lo, hi = np.searchsorted(numbers, number[i[got[:, 0]]], "left"), np.searchsorted(numbers, number[i[got[:, 0]]], "right")
-            found.append((_gather(members, lo, hi - lo), np.repeat(got[:, 1], hi - lo), np.repeat(got[:, 2], hi - lo)))
+        got = (_gather(buf, at[i], length[i]), ends - length[i], length[i], h[i], place[i], least[i], several[i])
+        # an anchor in very many surroundings: suffixes of one distance from it at a time
+        for before in np.array_split(every, 1 if len(i) <= 2 * AT_ONCE else len(every)):
+            seg, shift, size, smallest = _repeats(*got, before)
+            found.append((i[seg], shift, size, smallest))
         a = b
-    row, shift, size = (np.concatenate(x) for x in zip(*found, strict=True))
-    out = []
-    for p in np.unique(pack[row]):
-        i = np.flatnonzero(pack[row] == p)
-        r = row[i]
-        out.append(_spans_row(int(p), owner[r], start[r] + shift[i], start[r] + shift[i] + size[i]))
-    return out
+    if not found:
+        return []
+    cls, shift, size, smallest = (np.concatenate(x) for x in zip(*found, strict=True))
+    members = np.diff(np.append(first, len(order)))
+    row = order[_gather(np.arange(len(order)), first[cls], members[cls])]
+    shift, size, smallest = (np.repeat(x, members[cls]) for x in (shift, size, smallest))
+    by = np.lexsort((own[row], pack[row]))
+    row, shift, size, smallest = row[by], shift[by], size[by], smallest[by]
+    cut = [*np.flatnonzero(np.concatenate([[True], pack[row][1:] != pack[row][:-1]])).tolist(), len(row)] if len(row) else [0]
+    return [(int(pack[row[x]]), _squeeze(np.diff(own[row[x:y]], prepend=0).astype(np.int32).tobytes() + shift[x:y].astype(np.uint8).tobytes() + size[x:y].astype(np.uint8).tobytes() + np.diff(smallest[x:y], prepend=0).astype(np.int64).tobytes())) for x, y in zip(cut, cut[1:])]  # noqa: B905
+
+
+def _occurrences(rows: pa.RecordBatch, keys: list[bytes], groups: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end, in the pack's bytes, of each occurrence outside its group's smallest document."""
+    _, _, doc, lo, _, _, _, (_, order, first) = _surroundings(rows, keys)
+    members = np.diff(np.append(first, len(order)))
+    starts, ends = [], []
+    for raw in map(_expand, groups):
+        n = len(raw) // 14
+        number, shift, size, smallest = np.cumsum(np.frombuffer(raw, np.int32, n)), np.frombuffer(raw, np.uint8, n, 4 * n), np.frombuffer(raw, np.uint8, n, 5 * n), np.cumsum(np.frombuffer(raw[6 * n :], np.int64))
+        i = order[_gather(np.arange(len(order)), first[number], members[number])]
+        shift, size, smallest = (np.repeat(x.astype(np.int64), members[number]) for x in (shift, size, smallest))
+        later = doc[i] > smallest
+        starts.append((lo[i] + shift)[later])
+        ends.append((lo[i] + shift + size)[later])
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 def _cut(digests: bool, schema: pa.Schema) -> Callable:
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, lists in zip(batch.column("rows").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for raw, keys, groups in zip(*(batch.column(c).to_pylist() for c in ("rows", "keys", "groups")), strict=True):
                 rows = _unpack(raw)
                 buf, off = utf8(rows.column("text"))
                 change = np.zeros(len(buf) + 1, np.int32)
-                for spans in lists or []:
-                    owner, a, b = np.frombuffer(_expand(spans), np.int64).reshape(3, -1)
-                    np.add.at(change, off[owner] + a, 1)
-                    np.add.at(change, off[owner] + b, -1)
+                if groups:
+                    a, b = _occurrences(rows, keys, groups)
+                    change += np.bincount(a, minlength=len(change)).astype(np.int32)
+                    change -= np.bincount(b, minlength=len(change)).astype(np.int32)
                 gone = np.cumsum(change)[:-1] > 0
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1]
@@ -446,12 +480,14 @@ def without_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     parts = n * PARTS  # a task takes its parts one after the other, so it holds one at a time
     packs = docs.mapInArrow(_pack, "pack long, rows binary").repartition(n, "pack")
     shared = packs.mapInArrow(_announce(parts), "part int, pack long, keys binary, several binary").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared, "pack long, keys binary")
-    shared = shared.groupBy("pack").agg(F.collect_list("keys").alias("keys"))
+    shared = written(shared.groupBy("pack").agg(F.collect_list("keys").alias("keys")), "shared")
+    size = shared.agg(F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+    parts = max(parts, -(-size // (6 * PER_PART)))
     # left joins leave the packs as they are, so that their one shuffle serves all three steps
     around = packs.join(shared, "pack", "left").select("pack", "rows", "keys").mapInArrow(_surround(parts), _SURROUND)
-    spans = around.repartition(n, F.when(F.col("part") < 0, F.xxhash64("pack")).otherwise(F.col("part").cast("long"))).sortWithinPartitions("part").mapInArrow(_settle, "pack long, spans binary")
-    spans = spans.groupBy("pack").agg(F.collect_list("spans").alias("spans"))
-    both = packs.join(spans, "pack", "left").select("rows", "spans")
+    groups = around.repartition(max(n, -(-parts // PARTS)), "part").sortWithinPartitions("part").mapInArrow(_settle, "pack long, groups binary")
+    groups = groups.groupBy("pack").agg(F.collect_list("groups").alias("groups"))
+    both = packs.join(shared, "pack", "left").join(groups, "pack", "left").select("rows", "keys", "groups")
     if digests:
         schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
     else:

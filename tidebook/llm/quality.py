@@ -14,10 +14,9 @@ from tidebook.llm.kernels import BASE, LOWER_VALUE, blocks, mix, prefix_hash, ra
 from tidebook.llm.runtime import id_text, returns_memory, small_batches
 
 BITS = 18
-#: Labelled documents that train at most, chosen by a hash of their id: the documented bound of the sample.
-TRAIN_ROWS = 6000
-#: Bytes of features kept in the training task for the later passes; documents beyond are learnt from once.
-KEEP_BYTES = 96 << 20
+#: Labelled rows that train at most, and the bytes of their texts at most, in the order of a hash of their id: the
+#: documented bounds of the sample. Rows beyond either bound are not in it.
+TRAIN_ROWS, TRAIN_BYTES = 6000, 48 << 20
 PASSES = 4
 #: Updates at least: small samples take more passes.
 LEAST_UPDATES = 8000
@@ -105,36 +104,46 @@ class Leader:
         self.n[index] = n + g2
 
 
-@returns_memory
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    leader, kept, size, seen = Leader(), [], 0, 0
-    for batch in batches:
-        for part, buf, off in blocks(batch, "text"):
-            index, at = features(buf, off)
-            for i, label in enumerate(part.column("label").to_pylist()):
-                ids, counts = np.unique(index[at[i] : at[i + 1]], return_counts=True)
-                ids = np.append(ids, 1 << BITS).astype(np.int32)
-                values = np.append(SCALE * counts / max(1, at[i + 1] - at[i]), 1.0)
-                leader.learn(ids, values, label)
-                seen += 1
-                if size < KEEP_BYTES:
-                    kept.append((ids, values.astype(np.float32), label))
-                    size += 8 * len(ids)
-    passes = max(PASSES, -(-LEAST_UPDATES // max(1, seen)))
-    for _ in range(passes - 1):
+def fitted(rows: Iterator[tuple[np.ndarray, int]]) -> np.ndarray:
+    """The weights (the last is the intercept) learnt from (n-gram indices, label) rows in their order: PASSES passes,
+    or as many as make LEAST_UPDATES updates."""
+    leader, kept = Leader(), []
+    for index, label in rows:
+        ids, counts = np.unique(index, return_counts=True)
+        kept.append((np.append(ids, 1 << BITS).astype(np.int32), np.append(SCALE * counts / max(1, len(index)), 1.0).astype(np.float32), label))
+    for _ in range(max(PASSES, -(-LEAST_UPDATES // max(1, len(kept))))):
         for ids, values, label in kept:
             leader.learn(ids, values, label)
-    yield pa.RecordBatch.from_arrays([pa.array([leader.weights().astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["weights", "seen"])
+    return leader.weights().astype(np.float32)
+
+
+@returns_memory
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple[np.ndarray, int]]:
+        size = 0
+        for batch in batches:
+            for part, buf, off in blocks(batch, "text"):
+                size += len(buf)
+                if size > TRAIN_BYTES:
+                    return
+                index, at = features(buf, off)
+                for i, label in enumerate(part.column("label").to_pylist()):
+                    yield index[at[i] : at[i + 1]], label
+
+    weights = fitted(rows())
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
 
 def trained(texts: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """The weights (the last is the intercept) learnt from ``labels`` (doc_id, label 0 or 1) and the texts of those
-    ids. At most ``rows`` labels count, those of the smallest hash of their id; one task streams them in that order,
-    so the weights depend on the rows alone, not on their partitions. Without rows all weights are 0."""
-    chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids. At most ``rows`` rows count, those of the smallest hash of their id, and of these the first whose texts have
+    TRAIN_BYTES together; one task streams them in that order, so the weights depend on the rows alone, not on their
+    partitions. Without rows all weights are 0."""
+    by = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(*by).limit(rows)
     # at most ``rows`` pairs of numbers: a bounded broadcast
-    sample = texts.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    got = sample.select("label", "text").mapInArrow(_train, "weights binary, seen long").first()
+    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy(*by, "text").limit(rows)
+    got = sample.repartition(1).sortWithinPartitions(*by, "text").select("label", "text").mapInArrow(_train, "weights binary").first()
     return np.frombuffer(got["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 

@@ -1,7 +1,9 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Each partition packs its own documents best-fit decreasing. Nearly full bins are final; underfull bins become items
-of the next round, where groups of partitions are packed again, eight to one, until one group is left.
+of the next round, where groups of partitions are packed again, eight to one, until one group is left. A group holds
+at most GROUP_ITEMS bins: where more are open, groups stay as many as that takes and bins are dealt out anew each round,
+until a round merges hardly any.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from tidebook.llm.vocab import vocabulary
 FAN_IN = 8
 #: A bin at this share of its capacity is final.
 NEARLY_FULL = 0.995
+#: Open bins of one group, and the share of open bins that a round must merge for another to follow.
+GROUP_ITEMS, LEAST_MERGED = 200_000, 0.01
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +100,7 @@ def _merge(capacity: int) -> Callable:
             # a merged bin takes the name of its first item
             name = np.zeros(len(fills), np.int64)
             name[bins[offsets == 0]] = old[offsets == 0]
-            yield from pa.table([pa.array(old), pa.array(name[bins]), pa.array(offsets), pa.array(fills[bins])], ["bin", "into", "shift", "fill"]).to_batches(max_chunksize=10_000)
+            yield from pa.table([pa.array(old), pa.array(name[bins]), pa.array(offsets), pa.array(fills[bins]), pa.array(np.full(len(old), group, np.int64))], ["bin", "into", "shift", "fill", "group"]).to_batches(max_chunksize=10_000)
 
     return run
 
@@ -115,24 +119,25 @@ def packed(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096, id
     full = int(capacity * NEARLY_FULL)
     # no bin accepts less than the smallest open bin: fuller ones than that allows are final too
     open_bins = placed.where((F.col("offset") == 0) & (F.col("fill") < full)).select("bin", "fill", F.shiftright("bin", 32).alias("group"))
-    groups, least = open_bins.agg(F.max("group"), F.min("fill")).first()
+    count, groups, least = open_bins.agg(F.count(F.lit(1)), F.max("group"), F.min("fill")).first()
     moved: DataFrame | None = None
-    n = 0 if groups is None else groups + 1
-    while n > 1:
-        n = -(-n // FAN_IN)
-        items = open_bins.where(F.col("fill") <= capacity - least).withColumn("group", F.floor(F.col("group") / FAN_IN))
-        step = written(items.repartition(n, "group").mapInArrow(_merge(capacity), "bin long, into long, shift long, fill long").join(items.select("bin", "group"), "bin"), "merged")
+    n, merged = 0 if groups is None else groups + 1, True
+    while n > 1 and merged:
+        before, n = n, max(-(-n // FAN_IN), -(-count // GROUP_ITEMS))
+        # whole groups meet while they get fewer; after that bins meet others by a hash that changes with the round
+        group = F.floor(F.col("group") * n / before) if n < before else F.pmod(F.xxhash64("bin", F.lit(count)), F.lit(n))
+        items = open_bins.where(F.col("fill") <= capacity - least).withColumn("group", group.cast("long"))
+        step = written(items.repartition(n, "group").mapInArrow(_merge(capacity), "bin long, into long, shift long, fill long, group long"), "merged")
         if moved is None:
             moved = step.select("bin", "into", "shift")
-        else:
+        else:  # the items of a later round are bins that the first round made
             later = step.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"))
-            both = moved.join(later, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
-            fresh = step.join(moved.select("bin"), "bin", "left_anti").select("bin", "into", "shift")
-            moved = written(both.union(fresh), "moved")
+            both = moved.join(later, "into", "left")
+            moved = written(both.select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "moved")
         open_bins = step.where((F.col("shift") == 0) & (F.col("fill") < full)).select(F.col("into").alias("bin"), "fill", "group")
-        least = open_bins.agg(F.min("fill")).first()[0]
-        if least is None:
-            break
+        left, least = open_bins.agg(F.count(F.lit(1)), F.min("fill")).first()
+        merged = least is not None and (n < before or count - left >= LEAST_MERGED * count)
+        count = left
     if moved is None:
         return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
     out = placed.join(moved, "bin", "left")

@@ -24,12 +24,48 @@ from tidebook.llm.kernels import blocks
 from tidebook.llm.runtime import id_text, new_path, partitions, small_batches
 from tidebook.llm.vocab import vocabulary
 
-#: Documents whose rows are read back at once.
-READ_DOCS = 2000
+#: Documents whose rows are read back at once, and their ids (or one document's).
+READ_DOCS, READ_IDS = 2000, 1 << 20
+
+
+#: Schemes of Hadoop's object stores under the names that Arrow knows them by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
+    """Arrow's file system and path of a whole URI."""
+    scheme, rest = uri.split(":", 1)
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def whole_uri(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme, by the default file system of the session's Hadoop configuration where it has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+class Ranges:
+    """Numbers of a file, read by ranges: memory-mapped where it is local, else only the bytes of the range."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, dtype: type):
+        self.dtype, self.file = np.dtype(dtype), None
+        if isinstance(fs, pafs.LocalFileSystem):
+            self.map = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+            self.size = len(self.map)
+        else:
+            self.file = fs.open_input_file(path)
+            self.size = self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.file is None:
+            return self.map[at]
+        a, b, _ = at.indices(self.size)
+        return np.frombuffer(self.file.read_at(max(0, b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
 
 
 def _writer(path: str, folder: str, end_id: int) -> Callable:
@@ -67,6 +103,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
     a row a partition, nothing a document."""
     spark = docs.sparkSession
     small_batches(spark)
+    folder = whole_uri(spark, folder)
     texts = id_text(docs, id_col, text_col)
     dealt = texts.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     rows = sorted(tuple(r) for r in dealt.mapInArrow(_writer(path, folder, end_id), "part long, docs long, ids long, width long").collect())
@@ -78,28 +115,26 @@ def _reader(folder: str, keep: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _store(folder)
 
-        def file(name: str, kind: str, dtype: type) -> np.ndarray:
-            at = f"{base}/{name}.{kind}"
-            local = isinstance(fs, pafs.LocalFileSystem)
-            if local:
-                return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
-            with fs.open_input_file(at) as f:
-                return np.frombuffer(f.read_buffer(), dtype)
-
         for batch in batches:
             for part, width, first in zip(*(batch.column(c).to_pylist() for c in ("part", "width", "base")), strict=True):
-                name = f"part-{part:06d}"
-                ids, idx, doc = file(name, "bin", np.uint16 if width == 2 else np.uint32), file(name, "idx", np.uint64), file(name, "doc", np.int64).reshape(-1, 2)
-                for a in range(0, len(doc), READ_DOCS):
-                    b = min(a + READ_DOCS, len(doc))
-                    at = idx[a : b + 1].astype(np.int64)
-                    wide = [ids[at[i] : at[i + 1]].astype("<u4") for i in range(b - a)]
-                    columns = [pa.array(doc[a:b, 0], pa.int64(), mask=doc[a:b, 1].astype(bool)), pa.array(first + at[:-1]), pa.array(np.diff(at))]
+                ids, idx, doc = (Ranges(fs, f"{base}/part-{part:06d}.{kind}", t) for kind, t in (("bin", np.uint16 if width == 2 else np.uint32), ("idx", np.uint64), ("doc", np.int64)))
+                a, n = 0, doc.size // 2
+                while a < n:
+                    at = idx[a : min(a + READ_DOCS, n) + 1].astype(np.int64)
+                    b = a + max(1, int(np.searchsorted(at, at[0] + READ_IDS, "right")) - 1)
+                    at = at[: b - a + 1]
+                    some = ids[int(at[0]) : int(at[-1])]
+                    names = doc[2 * a : 2 * b].reshape(-1, 2)
+                    wide = [some[x - at[0] : y - at[0]].astype("<u4") for x, y in zip(at, at[1:])]  # noqa: B905
+                    columns = [pa.array(names[:, 0], pa.int64(), mask=names[:, 1].astype(bool)), pa.array(first + at[:-1]), pa.array(np.diff(at))]
                     if keep:
                         columns.append(pa.array([x.astype(np.int64).tolist() for x in wide], pa.list_(pa.int64())))
                     else:
                         columns.append(pa.array([zlib.crc32(x) for x in wide], pa.int64()))
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids" if keep else "ids_crc32"])
+                    a = b
+                for x in (ids, idx, doc):
+                    x.close()
 
     return run
 
@@ -108,6 +143,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[tuple[int,
     """(doc_id, start, n_tokens, ids) of every document in the files, memory-mapped where they are local; with
     ``digests`` ids_crc32, of the ids as little-endian unsigned 32-bit integers, in place of ids."""
     small_batches(spark)
+    folder = whole_uri(spark, folder)
     parts = spark.createDataFrame(manifest, "part long, docs long, ids long, width long, base long").where(F.col("docs") > 0).repartition(max(1, len(manifest)))
     what = "ids_crc32 long" if digests else "ids array<long>"
     return parts.mapInArrow(_reader(folder, not digests), f"doc_id long, start long, n_tokens long, {what}")

@@ -4,7 +4,7 @@ The library defines the ids. Plain texts (Latin letters, ASCII, single line ends
 the file's own pattern and merged by the rank engine of tiktoken, which is compiled from the same file's merges and
 several times faster; all other texts, and texts with special strings, go to the library itself, as do whole files
 of a form that isn't known here. The first plain text of every call is encoded both ways: should they ever differ, the
-worker uses the library from then on and encodes the call anew.
+task fails, so that no ids of two kinds are ever mixed.
 """
 
 from __future__ import annotations
@@ -125,8 +125,7 @@ class Vocabulary:
         probe = plain.index(True) if any(plain) else None
         found = self._by_library([texts[i] for i in rest] + ([texts[probe]] if probe is not None else []))
         if probe is not None and found[-1] != out[probe]:
-            self.engine = None
-            return self._by_library(texts)
+            raise RuntimeError("the rank engine and the tokenizers library give different ids")
         for i, x in zip(rest, found, strict=False):
             out[i] = x
         return out

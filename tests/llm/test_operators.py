@@ -164,7 +164,7 @@ def test_unigram_shortest_path():
     from tidebook.llm.sentencepieces import Model, PieceTransducer
 
     m = Model.__new__(Model)
-    m.kind, m.dummy_prefix, m.trims, m.unknown, m.byte_ids = "unigram", True, False, 0, None
+    m.kind, m.dummy_prefix, m.trims, m.unknown, m.byte_ids, m.rules = "unigram", True, False, 0, None, {}
     m.pieces, m.scores, m.types = ["<unk>", "▁a", "b", "▁ab", "c", "bc", "▁"], [0, -1.0, -1.0, -2.5, -3.0, -1.5, -9.0], [2, 1, 1, 1, 1, 1, 1]
     m.normal = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == 1}
     t = PieceTransducer(m)

@@ -55,6 +55,31 @@ def test_pieces(text):
     assert t.decode(ids) == sp.decode(sp.encode(text))
 
 
+def _message(number: int, value: bytes) -> bytes:
+    size, out = len(value), bytes([number << 3 | 2])
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return out + bytes([size]) + value
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf"])
+def test_character_maps(rule, tmp_path):
+    """The published normaliser rules, put before the same pieces, as the library runs them."""
+    from tidebook.llm.sentencepieces import Model, PieceTransducer, _fields
+
+    with open(PIECES, "rb") as f:
+        pieces = [(k, v) for k, v in _fields(f.read()) if k != 3]
+    rules = dict(_fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]
+    path = tmp_path / "mapped.model"
+    path.write_bytes(b"".join(_message(k, v) for k, v in pieces) + _message(3, rules))
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=str(path)), PieceTransducer(Model(str(path)))
+    rng = random.Random(6)
+    letters = [*"abestT  \n\t.'12éüßÄ½²ªł中🙂　́İΣﬁﾊﾞ①ＡＢ™…", "e\u0301", "が", "カ\u3099", " the", "\u200b", "\x00"]
+    for _ in range(600):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+        assert np.frombuffer(t.encode(text), np.uint32).tolist() == sp.encode(text), repr(text)
+
+
 def test_fits_like_merging():
     t = token_counts.counter(BYTES).transducer
     rng, ids, seen = random.Random(2), list(t.texts), 0

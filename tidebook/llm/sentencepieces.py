@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-The normaliser (dummy prefix, white space to U+2581), the pieces and the byte fallback compile to one transducer that
-is composed with each word of the input; the shortest path in the tropical semiring gives the ids. In a unigram model
-an arc's weight is the piece's negated score. In a byte-pair model arcs weigh nothing where the pair of pieces encodes
-its own text and infinitely much elsewhere: one path of finite weight is left, and the lazily determinised composition
-of ``transducer`` finds it. White space starts a word, as no piece of a usable model crosses from a word into it.
+A model compiles to a chain of transducers. The normaliser's arcs are the model's character map (a trie that is left by
+its longest match), then a machine that drops extra spaces, then one that marks spaces and puts the dummy prefix. The
+lexicon's arcs spell pieces and return to the start with a piece as output; a letter without a piece has an arc of its
+own, whose outputs are the byte pieces or the unknown piece. Encoding composes the input with the chain and takes
+the shortest path in the tropical semiring. In a unigram model an arc weighs the piece's negated score. A byte-pair
+model's lexicon is composed with an acceptor of adjacent pieces, whose arcs weigh nothing where the pair encodes its
+own text and infinitely much elsewhere: one path of finite weight is left. White space starts a word, as no piece of a
+usable model crosses from a word into it, so shortest paths are found, and remembered, word by word.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from tidebook.llm.kernels import blocks
 from tidebook.llm.runtime import id_text, small_batches
-from tidebook.llm.transducer import JoinEncoder, Transducer
+from tidebook.llm.transducer import MOST_STATES, JoinEncoder, PairEncoder
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -57,19 +61,39 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def character_map(raw: bytes) -> dict[str, str]:
+    """The rewriting rules of a precompiled map: a double-array trie over the bytes of what is rewritten, whose values
+    are places in a block of zero-ended replacements. Fixed values: the layout of the trie's 32-bit units."""
+    if not raw:
+        return {}
+    size = struct.unpack_from("<I", raw)[0]
+    units, block = struct.unpack_from(f"<{size // 4}I", raw, 4), raw[4 + size :]
+    first = lambda u: (u >> 10) << ((u & 0x200) >> 6)
+    rules: dict[str, str] = {}
+    todo = [(first(units[0]), b"", 0)]
+    while todo:
+        at, key, ends = todo.pop()
+        if ends:
+            value = units[at] & 0x7FFFFFFF
+            rules[key.decode()] = block[value : block.index(0, value)].decode()
+        for c in range(1, 256):
+            if (at ^ c) < len(units) and units[at ^ c] & 0x800000FF == c:
+                todo.append((at ^ c ^ first(units[at ^ c]), key + bytes([c]), units[at ^ c] & 0x100))
+    return rules
+
+
 class Model:
     """Pieces and normaliser of a model file. The format's field numbers and piece types."""
 
     def __init__(self, path: str):
-        import struct
-
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
         trainer = dict(_fields(b"".join(v for k, v in top if k == 2)))
         normal = dict(_fields(b"".join(v for k, v in top if k == 3)))
         self.kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, 1))
-        if self.kind is None or normal.get(2) or trainer.get(24):
-            raise ValueError("unigram and byte-pair models without a character map or suffix white space compile")
+        if self.kind is None or trainer.get(24):
+            raise ValueError("unigram and byte-pair models without suffix white space compile")
+        self.rules = character_map(normal.get(2, b""))
         self.dummy_prefix, self.trims = bool(normal.get(3, 1)), bool(normal.get(4, 1))
         self.pieces: list[str] = []
         self.scores: list[float] = []
@@ -85,6 +109,76 @@ class Model:
             raise ValueError("models with user-defined pieces or pieces across words don't compile")
 
 
+class Normaliser:
+    """The composition of the character map, the machine of extra spaces and the marking of spaces."""
+
+    def __init__(self, rules: dict[str, str], trims: bool, dummy_prefix: bool):
+        #: states of the map's trie: arcs by letter, and the output of the match that ends there
+        self.arcs: list[dict[str, int]] = [{}]
+        self.outputs: list[str | None] = [None]
+        for key, value in rules.items():
+            state = 0
+            for c in key:
+                state = self.arcs[state].setdefault(c, len(self.arcs))
+                if state == len(self.arcs):
+                    self.arcs.append({})
+                    self.outputs.append(None)
+            self.outputs[state] = value
+        #: where every match is one letter the trie is one state, whose arcs are a table
+        self.table = {ord(k): v for k, v in rules.items()} if all(len(k) == 1 for k in rules) else None
+        self.trims, self.dummy_prefix = trims, dummy_prefix
+
+    def mapped(self, text: str) -> str:
+        if self.table is not None:
+            return text.translate(self.table) if self.table else text
+        out, i, n = [], 0, len(text)
+        while i < n:
+            state, j, end, found = 0, i, i + 1, text[i]
+            while j < n and (state := self.arcs[state].get(text[j], 0)):
+                j += 1
+                if self.outputs[state] is not None:
+                    end, found = j, self.outputs[state]
+            out.append(found)
+            i = end
+        return "".join(out)
+
+    def trimmed(self, text: str) -> str:
+        """Two states: between words, where spaces are dropped, and in a word, whose following space is held back."""
+        return " ".join(w for w in text.split(" ") if w)
+
+    def __call__(self, text: str) -> str:
+        text = self.mapped(text)
+        if self.trims:
+            text = self.trimmed(text)
+        return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
+
+
+class Weights(dict):
+    """Weights of the lexicon's arcs by (state of the acceptor, token), filled as they are asked for."""
+
+    def __init__(self, scores: dict[int, float] | None, encoder: PairEncoder | None, texts: dict[int, str]):
+        super().__init__()
+        self.scores, self.encoder, self.texts = scores, encoder, texts
+        self.sides: dict[int, tuple[list, list] | None] = {}
+
+    def sides_of(self, token: int) -> tuple[list, list] | None:
+        if token not in self.sides:
+            self.sides[token] = self.encoder.sides(list(self.texts[token]))
+        return self.sides[token]
+
+    def __missing__(self, arc: tuple[int, int]) -> float:
+        before, token = arc
+        if self.scores is not None:
+            weight = -self.scores[token]
+        else:  # a pair weighs nothing if its joined text is encoded as that pair
+            one, two = self.sides_of(before) if before >= 0 else None, self.sides_of(token)
+            weight = 0.0 if two is not None and (before < 0 or one is not None and not self.encoder.meet(one[1], two[0])) else inf
+        if len(self) > 4 * MOST_STATES:
+            self.clear()
+        self[arc] = weight
+        return weight
+
+
 class PieceTransducer:
     """encode(text) and decode(ids) of one model."""
 
@@ -92,54 +186,68 @@ class PieceTransducer:
         self.model = model
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.letters = {c for p in model.normal for c in p}
-        self.foreign = re.compile("([^" + re.escape("".join(sorted(self.letters))) + "])")
-        if model.kind == "bpe":
-            rank = {p: -model.scores[i] for p, i in model.normal.items()}
-            # a letter that is no piece itself may still be merged; alone it falls back
-            self.extra = {c: len(model.pieces) + n for n, c in enumerate(sorted(self.letters - model.normal.keys()))}
-            self.machine = Transducer(model.normal | self.extra, JoinEncoder(rank))
-        else:
-            self.least = min(model.scores[i] for i in model.normal.values()) - UNKNOWN_PENALTY
-            self.longest = max(map(len, model.normal))
-
-    def normalise(self, text: str) -> str:
-        if self.model.trims:
-            text = re.sub(" +", " ", text.strip(" "))
-        return (SPACE if self.model.dummy_prefix and text else "") + text.replace(" ", SPACE)
-
-    def fallback(self, letter: str) -> list[int]:
-        ids = self.model.byte_ids
-        return [ids[b] for b in letter.encode()] if ids else [self.model.unknown]
-
-    def _tropical(self, word: str) -> list[int]:
-        """Shortest path of a unigram model: least sum of negated scores, unknown letters at a penalty."""
-        best: list[tuple[float, int, int | None]] = [(0.0, 0, None)] + [(inf, 0, None)] * len(word)
-        for i in range(len(word)):
-            for j in range(i + 1, min(len(word), i + self.longest) + 1):
-                k = self.model.normal.get(word[i:j])
-                w = best[i][0] - (self.model.scores[k] if k is not None else self.least if j == i + 1 else -inf)
-                if w < best[j][0]:
-                    best[j] = (w, i, k)
-        out: list[int] = []
-        j = len(word)
-        while j:
-            _, i, k = best[j]
-            out += reversed(self.fallback(word[i:j])) if k is None else [k]
-            j = i
-        return out[::-1]
+        self.normalise = Normaliser(model.rules, model.trims, model.dummy_prefix)
+        self.paired = model.kind == "bpe"
+        texts = {i: p for p, i in model.normal.items()}
+        #: outputs of each token: a piece's id, or what a letter without a piece falls back to
+        self.outputs: dict[int, list[int]] = {i: [i] for i in texts}
+        self.letters: dict[str, int] = {}
+        if self.paired:
+            # a letter that is no piece itself may still be merged
+            for c in sorted({c for p in model.normal for c in p} - model.normal.keys()):
+                texts[self._own_arc(c)] = c
+        self.length = {i: len(p) for i, p in texts.items()}
+        #: the lexicon's states: arcs by letter, and the token with which an arc goes back to the start
+        self.lexicon: tuple[dict, int] = ({}, -1)
+        ends = {p: i for i, p in texts.items()}
+        nodes = {"": self.lexicon}
+        for p in sorted(ends):
+            for j in range(1, len(p) + 1):
+                if p[:j] not in nodes:
+                    nodes[p[:j]] = nodes[p[: j - 1]][0][p[j - 1]] = ({}, ends.get(p[:j], -1))
+        scores = {i: model.scores[i] for i in model.normal.values()}
+        self.penalty = UNKNOWN_PENALTY - min(scores.values())
+        self.weights = Weights(None if self.paired else scores, JoinEncoder({p: -scores[i] for p, i in model.normal.items()}) if self.paired else None, texts)
+
+    def _own_arc(self, letter: str) -> int:
+        """The token of a letter that is no piece: numbered after the pieces."""
+        token = self.letters.get(letter)
+        if token is None:
+            ids = self.model.byte_ids
+            token = self.letters[letter] = len(self.model.pieces) + len(self.letters)
+            self.outputs[token] = [ids[b] for b in letter.encode()] if ids else [self.model.unknown]
+        return token
 
     def path(self, word: str) -> list[int]:
-        if self.model.kind == "unigram":
-            return self._tropical(word)
-        out: list[int] = []
-        for part in self.foreign.split(word) if not self.letters.issuperset(word) else [word]:
-            if part and part[0] not in self.letters:
-                out += self.fallback(part)
-            else:
-                for k in self.machine.encode(part):
-                    out += [k] if k < len(self.model.pieces) else self.fallback(self.machine.texts[k])
-        return out
+        """The outputs of the shortest path through the word composed with the lexicon."""
+        size, paired, weights, root = len(word), self.paired, self.weights, self.lexicon
+        distance, state, token = [inf] * (size + 1), [-1] * (size + 1), [-1] * (size + 1)
+        distance[0] = 0.0
+        for i in range(size):
+            here, before = distance[i], state[i]
+            if here == inf:
+                continue
+            node, j, single = root, i, False
+            for c in word[i:] if i else word:
+                node = node[0].get(c)
+                if node is None:
+                    break
+                j += 1
+                arc = node[1]
+                if arc >= 0:
+                    single |= j == i + 1
+                    there = here + weights[before, arc]
+                    if there < distance[j]:
+                        distance[j], token[j] = there, arc
+                        if paired:
+                            state[j] = arc
+            if not single and here + self.penalty < distance[i + 1]:
+                distance[i + 1], token[i + 1], state[i + 1] = here + self.penalty, self._own_arc(word[i]), -1
+        path, i, length = [], size, self.length
+        while i:
+            path.append(token[i])
+            i -= length.get(token[i], 1)
+        return [k for t in reversed(path) for k in self.outputs[t]]
 
     def _word(self, word: str) -> bytes:
         ids = self.older.get(word) or array("I", self.path(word)).tobytes()

@@ -125,16 +125,6 @@ class Transducer:
             self._sides[token] = self.encoder.sides([text[i : i + 1] for i in range(len(text))])
         return self._sides[token]
 
-    @property
-    def linked(self) -> tuple[dict, int]:
-        """The trie as nested (children, token) pairs."""
-        if not hasattr(self, "_linked"):
-            nodes = [({}, end) for end in self.ends]
-            for (children, _), own in zip(nodes, self.children, strict=True):
-                children.update((c, nodes[n]) for c, n in own.items())
-            self._linked = nodes[0]
-        return self._linked
-
     def step(self, live_now: tuple, c) -> tuple[tuple, int, int]:
         """The state after a symbol, the change of the token count and the last token."""
         last = None
@@ -184,38 +174,6 @@ class Transducer:
         """Tokens in the encoding of one pre-token; every symbol of the text must be a piece."""
         return self.run(0, text)[1]
 
-    def encode(self, text: Sequence) -> list[int]:
-        """The ids of one pre-token: the one path of finite weight through the text composed with the pieces, read
-        backward from the last tokens of its prefixes."""
-        size = len(text)
-        last = [-1] * (size + 1)
-        known, fits, root = self._fits, self.fits, self.linked
-        for i in range(size):
-            before = last[i]
-            if before < 0 and i:
-                continue
-            node = root
-            j = i
-            for c in text[i:] if i else text:
-                node = node[0].get(c)
-                if node is None:
-                    break
-                j += 1
-                token = node[1]
-                if token >= 0 and last[j] < 0:
-                    ok = known.get((before, token))
-                    if ok or ok is None and fits(before, token):
-                        last[j] = token
-        out, i, length = [], size, self.length
-        while i:
-            token = last[i]
-            if token < 0:
-                raise ValueError("no piece ends the text")
-            out.append(token)
-            i -= length[token]
-        out.reverse()
-        return out
-
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, others from U+0100."""

@@ -23,9 +23,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest doc_id."""
-    surplus = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates stays, the one of the smallest doc_id. Rows of one doc_id with
+    different texts go or stay by their own text's group."""
+    surplus = near_duplicates(docs, text_hash=True).where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    mine = (docs["doc_id"] == surplus["doc_id"]) & (F.xxhash64(docs["text"]) == surplus["text_hash"])
+    return docs.join(surplus, mine, "left_anti").select(docs.columns)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ PER_PIVOT = 2000
 BLOCK, MANY = 256, 4096
 #: Members of a bucket that stream past a block in one task.
 PER_SALT = 1024
-#: Partners that a member tries in the first round after the pivots, and how many more in each further one.
-TRIES, MORE_TRIES = 1, 8
+#: Shingles that a comparison of two blocks holds at once.
+COLUMNS = 16384
 
 
 def signatures(sets: np.ndarray, off: np.ndarray, family: int = 0) -> np.ndarray:
@@ -153,41 +153,90 @@ def confirmed(pairs: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
     return written(dealt.mapInArrow(_confirm(percent), "u long, v long"), "links")
 
 
-def _across(tries: int):
-    """For each streamed member of a bucket the ``tries`` held members of other components whose signatures agree most
-    with its own; a row of nulls where a member has more that agree."""
+@returns_memory
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of components of which a held and a streamed member of one bucket have agreeing signatures: of all such
+    pairs in a block those that join what the others don't."""
     least = int(np.ceil(SIGNATURE_LEAST * N_HASHES))
+    key, parts, held, root = None, [], [], {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        rows = [batch.column(c).to_pylist() for c in ("bucket", "block", "salt", "side", "component")]
+        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, N_HASHES)
+        us, vs = [], []
+        for i, (bucket, block, salt, side, component) in enumerate(zip(*rows, strict=True)):
+            if key != (bucket, block, salt):
+                key, parts, held, root = (bucket, block, salt), [], [], {}
+            if side == 0:
+                parts.append(component)
+                held.append(sig[i].copy())
+                continue
+            if isinstance(held, list):
+                if not held:
+                    continue
+                held, parts = np.stack(held), np.array(parts)
+            for other in np.unique(parts[(parts != component) & ((held == sig[i]).sum(axis=1) >= least)]).tolist():
+                x, y = top(component), top(other)
+                if x != y:
+                    root[x] = y
+                    us.append(component)
+                    vs.append(other)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def _join_blocks(docs: list[int], parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different components: all pairs' exact intersections are one matrix product over
+    the shingles that at least two of the sets hold; links that join nothing new are left out."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    count = np.diff(np.append(start, len(every)))
+    column = np.repeat(np.arange(len(start)), count)
+    shared = np.repeat(count > 1, count)
+    _, column = np.unique(column[shared], return_inverse=True)
+    owner = owner[shared]
+    width = int(column.max()) + 1 if len(column) else 0
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, width, COLUMNS):
+        own = (column >= a) & (column < a + COLUMNS)
+        held = np.zeros((len(sets), min(COLUMNS, width - a)), np.float32)
+        held[owner[own], column[own] - a] = 1
+        both += held @ held.T
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    home = np.array(parts)
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1) & (home[:, None] != home[None, :])), strict=True):
+        if home[i] != home[j]:
+            out.append((docs[i], docs[j]))
+            home[home == home[j]] = home[i]
+    return out
+
 
+def _compare(percent: int):
     @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, parts, held = None, [], [], []
+        key, docs, parts, sets = None, [], [], []
+        links: list[tuple[int, int]] = []
         for batch in batches:
-            rows = [batch.column(c).to_pylist() for c in ("bucket", "block", "salt", "side", "doc_id", "component")]
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, N_HASHES)
-            us, vs, more = [], [], False
-            for i, (bucket, block, salt, side, doc, component) in enumerate(zip(*rows, strict=True)):
-                if key != (bucket, block, salt):
-                    key, docs, parts, held = (bucket, block, salt), [], [], []
-                if side == 0:
+            for part, buf, off in blocks(batch, "text"):
+                found, at = shingle_sets(buf, off)
+                for i, (g, one, two, doc, comp) in enumerate(zip(*(part.column(c).to_pylist() for c in ("area", "one", "two", "doc_id", "component")), strict=True)):
+                    if key != (g, one, two):
+                        links += _join_blocks(docs, parts, sets, percent) if docs else []
+                        key, docs, parts, sets = (g, one, two), [], [], []
                     docs.append(doc)
-                    parts.append(component)
-                    held.append(sig[i].copy())
-                    continue
-                if isinstance(held, list):
-                    if not held:
-                        continue
-                    held, docs, parts = np.stack(held), np.array(docs), np.array(parts)
-                agree = (held == sig[i]).sum(axis=1)
-                found = np.flatnonzero((parts != component) & (agree >= least))
-                if len(found) > tries:
-                    more = True
-                    found = found[np.argsort(-agree[found], kind="stable")[:tries]]
-                us += np.minimum(docs[found], doc).tolist()
-                vs += np.maximum(docs[found], doc).tolist()
-            if more:
-                us.append(None)
-                vs.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                    parts.append(comp)
+                    sets.append(found[at[i] : at[i + 1]].copy())
+        links += _join_blocks(docs, parts, sets, percent) if docs else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
@@ -203,54 +252,69 @@ def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _split(buckets: DataFrame, parts: DataFrame, crowd: DataFrame) -> DataFrame:
-    """(bucket, doc_id) of the buckets of several components. A bucket with over MANY members outside its largest
+    """``_mixed`` rows of the buckets of several components. A bucket with over MANY members outside its largest
     component is split by the bands of the next family: two of its members meet again if they share a band there too.
     What the last family leaves large stays whole."""
     rows, out = _mixed(buckets, parts), None
     for family in range(1, len(FAMILIES)):
         rows = written(rows, "mixed")
-        small, large = (rows.where(c).select("bucket", "doc_id") for c in (F.col("minority") <= MANY, F.col("minority") > MANY))
-        out = small if out is None else out.union(small)
+        small, large = rows.where(F.col("minority") <= MANY), rows.where(F.col("minority") > MANY).select("bucket", "doc_id")
+        out = small if out is None else out.unionByName(small)
         if large.isEmpty():
             return out
-        again = large.select("doc_id").distinct().join(crowd.select("doc_id", "text"), "doc_id").mapInArrow(_resigned(family), "doc_id long, signature binary").mapInArrow(_bands, "band long, doc_id long")
-        finer = large.join(again, "doc_id").select(F.xxhash64("bucket", "band").alias("bucket"), "doc_id").distinct()
-        rows = _mixed(finer, parts)
-    return written(out.union(rows.select("bucket", "doc_id")), "mixed")
+        again = large.select("doc_id").distinct().join(crowd.select("doc_id", "text"), "doc_id").mapInArrow(_resigned(family), "doc_id long, signature binary").mapInArrow(_bands, "bucket long, doc_id long").withColumnRenamed("bucket", "band")
+        rows = _mixed(large.join(again, "doc_id").select(F.xxhash64("bucket", "band").alias("bucket"), "doc_id").distinct(), parts)
+    return out.unionByName(written(rows, "mixed"))
 
 
-def _candidates(buckets: DataFrame, parts: DataFrame, crowd: DataFrame, tries: int) -> DataFrame:
-    """Pairs (u, v) of members of one bucket, in different components, with agreeing signatures: for each member the
-    ``tries`` most alike. Members outside a bucket's largest component are held in blocks of BLOCK, and all members
-    stream past each block, dealt out by salt. A row of nulls says that some member has more."""
+def _look_alikes(buckets: DataFrame, parts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Edges (u, v) between components that members of one bucket with agreeing signatures connect. Members outside a
+    bucket's largest component are held in blocks of BLOCK, and all members stream past each block, dealt out by salt;
+    a block gives at most a tree of its components."""
     spark = crowd.sparkSession
-    now = _mixed(buckets, parts)
+    now = _split(buckets, parts, crowd)
     n_blocks, n_salts = (F.ceil(F.col(c) / size).cast("int") for c, size in (("minority", BLOCK), ("total", PER_SALT)))
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n).cast("int")
     held = now.where("component <> home").select("bucket", place(n_blocks, 1).alias("block"), each(n_salts).alias("salt"), F.lit(0).alias("side"), "doc_id", "component")
     past = now.select("bucket", each(n_blocks).alias("block"), place(n_salts, 2).alias("salt"), F.lit(1).alias("side"), "doc_id", "component")
     dealt = held.union(past).join(crowd.select("doc_id", "signature"), "doc_id").repartition(partitions(spark), "bucket", "block", "salt").sortWithinPartitions("bucket", "block", "salt", "side")
-    return written(dealt.mapInArrow(_across(tries), "u long, v long").distinct(), "candidates")
+    return written(dealt.mapInArrow(_forest, "u long, v long").distinct(), "lookalikes")
 
 
-def _settled(pairs: DataFrame, links: DataFrame, buckets: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
-    """(node, component) when no two members of one bucket with agreeing signatures are left untried in different
-    components. Each round tries every member's most alike outsiders, so groups grow together before many are tried;
-    ``pairs`` were tried before, and ``links`` are those of them that hold."""
+def _late_links(alike_parts: DataFrame, parts: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different components that look alike. An area is what ``alike_parts`` connects, so
+    any two documents whose signatures agree lie in one area. Its documents are compared across components,
+    blockwise, on their full sets: large components have blocks of their own, small ones share blocks, and two blocks
+    meet only if they hold different components."""
+    spark = crowd.sparkSession
+    area = connected_components(alike_parts).select(F.col("node").alias("component"), F.col("component").alias("area"))
+    docs = crowd.select("doc_id").distinct().join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = written(docs.join(area, "component").select("area", "doc_id", "component"), "areas")
+    sizes = placed.groupBy("area", "component").agg(F.count(F.lit(1)).alias("size"))
+    whole = sizes.groupBy("area").agg(F.sum("size").alias("area_size"))
+    placed = placed.join(sizes, ["area", "component"]).join(whole, "area")
+    own = F.col("size") > BLOCK // 4
+    placed = placed.select("area", "doc_id", "component", F.when(own, F.col("component")).alias("home"), F.when(own, F.ceil(F.col("size") / BLOCK)).otherwise(F.ceil(F.col("area_size") / BLOCK)).cast("int").alias("n"))
+    placed = written(placed.select("area", "doc_id", "component", "home", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("n"))).alias("block")), "blocks")
+    held = placed.select("area", "block", "home").distinct()
+    x, y = held.alias("x"), held.alias("y")
+    meet = x.join(y, F.col("x.area") == F.col("y.area")).where("x.block <= y.block and (x.home is null or y.home is null or x.home <> y.home)")
+    meet = meet.select(F.col("x.area").alias("area"), F.col("x.block").alias("one"), F.col("y.block").alias("two"))
+    sides = meet.select("area", "one", "two", F.col("one").alias("block")).union(meet.where("one <> two").select("area", "one", "two", F.col("two").alias("block")))
+    rows = placed.join(crowd.select("doc_id", "text"), "doc_id").join(sides, ["area", "block"])
+    rows = rows.select("area", "one", "two", "doc_id", "component", "text").repartition(partitions(spark), "area", "one", "two").sortWithinPartitions("area", "one", "two", "doc_id")
+    return written(rows.mapInArrow(_compare(percent), "u long, v long"), "late")
+
+
+def _settled(links: DataFrame, buckets: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """(node, component) over ``links`` and over all links that the pivots missed."""
     parts = written(connected_components(links), "components")
-    buckets, tries = _split(buckets, parts, crowd), TRIES
-    tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    while True:
-        found = _candidates(buckets, parts, crowd, tries)
-        fresh = written(found.where("u is not null").join(tried, ["u", "v"], "left_anti"), "pairs")
-        late = confirmed(fresh, crowd, percent)
-        if not late.isEmpty():
-            links = links.union(late)
-            parts = written(connected_components(links), "components")
-        if found.where("u is null").isEmpty():
-            return parts
-        tried, tries = tried.union(fresh), tries * MORE_TRIES
+    edges = _look_alikes(buckets, parts, crowd)
+    if edges.isEmpty():
+        return parts
+    late = _late_links(edges, parts, crowd, percent)
+    return parts if late.isEmpty() else written(connected_components(links.union(late)), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, text_hash: bool = False) -> DataFrame:
@@ -265,9 +329,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. 32 bands of 4 minima give buckets; a pair at 0.75 shares none with probability 5e-6. Each bucket pairs its
        members with a hashed pivot, another one in each band, so pairs grow with members, not with their square.
     3. Pairs pass a signature check, then the full sets, recomputed from the texts, decide.
-    4. Components come from alternating large-star and small-star. Where a bucket still holds several components, the
-       members outside its largest one are compared with all its members by signature, and what agrees by full sets,
-       the most alike first, until all that agrees is tried or joined: no link is lost to the pivots.
+    4. Components come from alternating large-star and small-star. Where a bucket still holds several components, its
+       members are compared by signature; components that look alike by that form areas, in which documents of
+       different components are compared blockwise on their full sets: no link is lost to the pivots.
 
     Defined cases: null or wordless texts have n_shingles 0 and link with nothing; a null doc_id gives component_id
     null and kept true; rows that repeat a doc_id each return the component of their own text's class, and classes
@@ -296,7 +360,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = crowded.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("u"))
     pairs = written(crowded.join(pivots, "bucket").select("u", F.col("doc_id").alias("v")).where("u <> v").distinct(), "stars")
     pairs = alike(pairs, crowd)
-    parts = _settled(pairs, confirmed(pairs, crowd, percent), crowded.select("bucket", "doc_id"), crowd, percent)
+    parts = _settled(confirmed(pairs, crowd, percent), crowded.select("bucket", "doc_id"), crowd, percent)
 
     resolved = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component"))
     out = salted.drop("signature").join(resolved, ["set_key", "salt"], "left")

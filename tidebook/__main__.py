@@ -34,6 +34,13 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--buffer", type=int)
     p.add_argument("--band", type=float, default=0.0)
     p.add_argument("--edge-gate", type=float, default=0.0)
+    p.add_argument("--cost-bps", type=float, default=0.0, help="cost a trade beside the half spread")
+    p.add_argument("--session", nargs=2, type=int, default=(48600, 72000), metavar=("FROM", "TO"), help="seconds of the day, UTC")
+    p.add_argument("--mm-kappa", type=float, default=0.25)
+    p.add_argument("--mm-limit", type=float, default=5.0)
+    p.add_argument("--mm-skew", type=float, default=0.5)
+    p.add_argument("--mm-gate", type=float, default=0.0)
+    p.add_argument("--mm-fee-bps", type=float, default=0.0)
     p.add_argument("--output", default="output.txt")
     return p
 
@@ -51,7 +58,7 @@ def main(argv: list[str] | None = None) -> str:
                 macros[name] = of(pattern)
             except FileNotFoundError as e:
                 print(f"warning: {name}: {e}")
-        return build_dataset(of(a.equities), macros, warm_up_seconds=a.warmup_seconds, session=None if a.include_extended else (48600, 72000))
+        return build_dataset(of(a.equities), macros, warm_up_seconds=a.warmup_seconds, session=None if a.include_extended else tuple(a.session))
 
     build_cache(spark, list_days(spark, a.equities), day, a.cache, a.rebuild_cache)
     df = read_days(spark, a.cache)
@@ -61,7 +68,7 @@ def main(argv: list[str] | None = None) -> str:
     if scored is None:
         raise SystemExit("no fold has enough rows")
     ends = {h: e for h, (_, e) in enumerate(HORIZONS)}
-    portfolio, makers = WF.simulations(scored, {h: max(1, e) for h, e in ends.items()}, a.top_k, a.buffer, a.band, a.edge_gate)
+    portfolio, makers = WF.simulations(scored, {h: max(1, e) for h, e in ends.items()}, a.top_k, a.buffer, a.band, a.edge_gate, extra_cost_bps=a.cost_bps, kappa=a.mm_kappa, inventory_limit=a.mm_limit, skew=a.mm_skew, maker_gate=a.mm_gate, fee_bps=a.mm_fee_bps)
     text = WF.report(WF.signal_metrics(scored, overlap=ends), portfolio, makers if a.mm else None)
     target = spark._jvm.org.apache.hadoop.fs.Path(a.output)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)

@@ -15,20 +15,21 @@ from tidebook.functions.windows import average_rank
 def newey_west(df: DataFrame, value: str, order: str, lags: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, mean, t): t-statistic of the mean with Bartlett weights over ``lags`` autocovariances.
 
-    Lagged products come from one lag window for each lag when there are few, else from each value's weighted sum of
-    the values before it, taken as an array over a ROWS frame: n * lags products, no self-join."""
+    The weighted sum of all lagged products is the sum of squared sums over every window of lags + 1 places, the ones
+    that overhang the ends included, over lags + 1. So a running sum and one lag of it do: the cost doesn't depend on
+    the number of lags."""
+    lags = max(lags, 0)
     w = Window.partitionBy(*by).orderBy(order)
     rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("__x"))
     means = rows.groupBy(*by).agg(F.avg("__x").alias("__m"), F.count(F.lit(1)).alias("__n"))
     rows = rows.join(means, list(by)) if by else rows.crossJoin(F.broadcast(means))
-    rows = rows.withColumn("__e", F.col("__x") - F.col("__m")).withColumn("__l", F.least(F.lit(max(lags, 0)), F.col("__n") - 1))
-    before = F.collect_list("__e").over(w.rowsBetween(-max(lags, 1), -1))
-    rows = rows.withColumn("__b", before)
-    size = F.size("__b")
-    # the value l rows back stands at place size - l of the frame and weighs 1 - l / (L + 1)
-    weighed = F.aggregate(F.transform("__b", lambda e, i: F.when(size - i <= F.col("__l"), e * (1.0 - (size - i) / (F.col("__l") + 1))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("__p", F.col("__e") * F.col("__e") + 2.0 * F.col("__e") * weighed)
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.first("__m").alias("mean"), (F.sum("__p") / F.count(F.lit(1))).alias("__s"))
+    rows = rows.withColumn("__e", F.col("__x") - F.col("__m")).withColumn("__l", F.least(F.lit(lags), F.col("__n") - 1))
+    rows = rows.withColumns({"__p": F.sum("__e").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__i": F.row_number().over(w)})
+    inside = F.col("__p") - F.coalesce(F.lag("__p", lags + 1).over(w), F.lit(0.0))
+    # all deviations add up to nothing, so a window that overhangs the end is what its predecessors left
+    beyond = F.when((F.col("__i") >= F.col("__n") - F.col("__l")) & (F.col("__i") < F.col("__n")), F.col("__p")).otherwise(0.0)
+    rows = rows.withColumn("__w", inside * inside + beyond * beyond)
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.first("__m").alias("mean"), (F.sum("__w") / (F.first("__l") + 1) / F.count(F.lit(1))).alias("__s"))
     t = F.when(F.col("n") < 3, F.lit(0.0)).otherwise(F.col("mean") / F.sqrt(F.greatest(F.col("__s"), F.lit(1e-18)) / F.col("n")))
     return out.withColumn("t", t).drop("__s")
 
@@ -73,6 +74,17 @@ def pair_metrics(df: DataFrame, predicted: str, actual: str, by: Sequence[str] =
     )
 
 
+def pair_tstats(df: DataFrame, predicted: str, actual: str, lags: int, order: Sequence[str] = ("ts_event", "symbol"), by: Sequence[str] = ()) -> DataFrame:
+    """(by, hit_rate_t, ir_t): robust t-statistics of the share of right signs over a half, where the actual is not 0
+    (0 with at most 2 such rows), and of the sign-traded actual, over pooled rows in ``order``."""
+    p, y = F.col(predicted), F.col(actual)
+    rows = df.where(p.isNotNull() & y.isNotNull()).select(*by, F.struct(*order).alias("__o"), (F.signum(p) * y).alias("traded"), F.when(y != 0, (F.signum(p) == F.signum(y)).cast("double") - 0.5).alias("hit"))
+    ir = newey_west(rows, "traded", "__o", lags, by).select(*by, F.col("t").alias("ir_t"))
+    hit = newey_west(rows, "hit", "__o", lags, by).select(*by, F.when(F.col("n") > 2, F.col("t")).otherwise(0.0).alias("hit_rate_t"))
+    both = ir.join(hit, list(by), "left") if by else ir.crossJoin(F.broadcast(hit))  # one row each
+    return both.select(*by, F.coalesce("hit_rate_t", F.lit(0.0)).alias("hit_rate_t"), "ir_t")
+
+
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     """(by, spearman): rank correlation within ``by``."""
     rows = df.withColumns({"__a": average_rank(a, by), "__b": average_rank(b, by)})

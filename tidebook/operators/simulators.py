@@ -32,39 +32,51 @@ def pick_side(order: list[int], held: set[int], k: int, m: int) -> list[int]:
     return kept
 
 
-def _path(day: np.ndarray, score: np.ndarray, valid: np.ndarray, fresh: np.ndarray, ret: np.ndarray, half: np.ndarray, rebalance: int, k: int, m: int, band: float, gate: float, scale: float) -> pd.DataFrame:
-    """One horizon's intervals over dense arrays (times by names). ``fresh``: a score was made at or before t today."""
-    rows = []
-    for d in np.unique(day):
-        at = np.flatnonzero(day == d)
-        if len(at) < rebalance + 2:
-            continue
-        weights, done = np.zeros(score.shape[1]), 0
-        for t in range(at[0], at[-1] - rebalance + 1, rebalance):
-            target = weights
-            if fresh[t]:
-                s = score[t]
-                ok = valid[t] & np.isfinite(s)
-                if gate > 0:
-                    ok &= np.abs(s * scale) >= gate * 2 * half[t]
-                names = np.flatnonzero(ok)
-                target = np.zeros_like(weights)
-                if len(names) >= 2:
-                    best, worst = names[np.argsort(-s[names], kind="stable")].tolist(), names[np.argsort(s[names], kind="stable")].tolist()
-                    longs = pick_side(best, set(np.flatnonzero(weights > 0).tolist()), k, m)
-                    shorts = [i for i in pick_side(worst, set(np.flatnonzero(weights < 0).tolist()), k, m) if i not in set(longs)]
-                    if longs and shorts:
-                        target[longs], target[shorts] = 0.5 / len(longs), -0.5 / len(shorts)
-            if band > 0 and np.abs(target - weights).sum() < band:
-                target = weights
-            traded = np.abs(target - weights)
-            gross = float(target @ (np.prod(1 + ret[t + 1 : t + rebalance + 1], axis=0) - 1))
-            rows.append([int(d), int(t), gross - float(traded @ half[t]), gross, float(traded.sum()), float(np.abs(target).sum()), float(target.sum()), int((np.abs(target) > 1e-9).sum())])
-            weights, done = target, done + 1
-        if rows and done:
-            rows[-1][2] -= float(np.abs(weights) @ half[at[-1]])
-            rows[-1][4] += float(np.abs(weights).sum())
-    return pd.DataFrame(rows, columns=["day", "t", "net", "gross", "turnover", "gross_exposure", "net_exposure", "names"])
+def target_weights(score: np.ndarray, fresh: np.ndarray, k: int, m: int, band: float) -> np.ndarray:
+    """Weights of one day after each rebalancing (times by names): the best names share +0.5, the worst -0.5. ``score``
+    is NaN where a name can't be traded. Without a fresh score, or where less than ``band`` would change, weights stay."""
+    weights = np.zeros_like(score)
+    held = np.zeros(score.shape[1])
+    for now, values, made in zip(weights, score, fresh, strict=True):
+        if made:
+            names = np.flatnonzero(np.isfinite(values))
+            wanted = np.zeros_like(held)
+            if len(names) > 1:
+                ups, downs = (names[np.argsort(sign * values[names], kind="stable")].tolist() for sign in (-1, 1))
+                top = pick_side(ups, set(np.flatnonzero(held > 0).tolist()), k, m)
+                low = [i for i in pick_side(downs, set(np.flatnonzero(held < 0).tolist()), k, m) if i not in top]
+                if top and low:
+                    wanted[top], wanted[low] = 0.5 / len(top), -0.5 / len(low)
+            if np.abs(wanted - held).sum() >= band:
+                held = wanted
+        now[:] = held
+    return weights
+
+
+def day_accounts(weights: np.ndarray, growth: np.ndarray, half: np.ndarray, closing: np.ndarray) -> dict[str, np.ndarray]:
+    """Gross, cost and exposure of each interval from the weights held in it, the names' growth over it, and the half
+    spreads at its start; the last interval also pays ``closing``, the half spreads at which the day is flattened."""
+    traded = np.abs(np.diff(weights, axis=0, prepend=0.0))
+    last = np.abs(weights[-1])
+    gross, cost, turnover = (weights * growth).sum(axis=1), (traded * half).sum(axis=1), traded.sum(axis=1)
+    cost[-1] += last @ closing
+    turnover[-1] += last.sum()
+    size = np.abs(weights)
+    return {"net": gross - cost, "gross": gross, "turnover": turnover, "gross_exposure": size.sum(axis=1), "net_exposure": weights.sum(axis=1), "names": (size > 1e-9).sum(axis=1)}
+
+
+def day_intervals(score: np.ndarray, fresh: np.ndarray, ret: np.ndarray, half: np.ndarray, rebalance: int, k: int, m: int, band: float, gate: float, scale: float) -> dict[str, np.ndarray]:
+    """One day's intervals over dense arrays (times by names): as many whole ones of ``rebalance`` rows as follow the
+    first row; ``at`` is the row at which each begins. Shorter days have none."""
+    count = (len(ret) - 1) // rebalance if len(ret) > rebalance + 1 else 0
+    at = np.arange(count) * rebalance
+    if not count:
+        return {"at": at}
+    known = score[at]
+    if gate > 0:  # a name must be expected to earn its round trip
+        known = np.where(np.abs(known * scale) >= gate * 2 * half[at], known, np.nan)
+    growth = (1 + ret[1 : 1 + count * rebalance]).reshape(count, rebalance, -1).prod(axis=1) - 1
+    return {"at": at, **day_accounts(target_weights(known, fresh[at], k, m, band), growth, half[at], half[-1])}
 
 
 def _prepared(df: DataFrame, extra_cost_bps: float) -> DataFrame:
@@ -81,20 +93,25 @@ INTERVALS = "fold int, horizon int, day int, t long, net double, gross double, t
 
 def long_short(df: DataFrame, rebalance: dict[int, int], k: int = 5, buffer: int | None = None, band: float = 0.0, gate: float = 0.0, scale: dict[int, float] | None = None, extra_cost_bps: float = 0.0) -> DataFrame:
     """Intervals of the long/short portfolio for each (fold, horizon): ``df`` has fold, horizon, ti, day, symbol, score,
-    scored (a score was made at that time), valid, ret1s, spread_bps. Weights are carried from interval to interval, so
-    a fold and horizon is one path; folds and horizons run apart."""
+    scored (a score was made at that time), valid, ret1s, spread_bps. Every day starts and ends flat, so a day is one
+    path; days, folds and horizons run apart. A ``buffer`` over k lets held names stay while they rank within it."""
     m = max(k, buffer or k)
     scales = scale or {}
-    cols = ["fold", "horizon", "ti", "day", "symbol", "ret", "half", F.col("held")["score"].alias("score"), F.coalesce(F.col("held")["valid"], F.lit(False)).alias("valid"), F.col("held").isNotNull().alias("fresh")]
+    score = F.when(F.col("held")["valid"], F.col("held")["score"])
+    cols = ["fold", "horizon", "ti", "day", "symbol", "ret", "half", score.alias("score"), F.col("held").isNotNull().alias("fresh")]
+    names = [c.split()[0] for c in INTERVALS.split(", ")]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, horizon = int(pdf["fold"].iloc[0]), int(pdf["horizon"].iloc[0])
-        wide = {c: pdf.pivot(index="ti", columns="symbol", values=c).sort_index().sort_index(axis=1) for c in ("score", "valid", "fresh", "ret", "half")}
-        day = pdf.drop_duplicates("ti").set_index("ti")["day"].sort_index().to_numpy()
-        out = _path(day, wide["score"].to_numpy(float), wide["valid"].eq(True).to_numpy(), wide["fresh"].eq(True).to_numpy().any(axis=1), wide["ret"].fillna(0.0).to_numpy(float), wide["half"].fillna(50.0).to_numpy(float), rebalance[horizon], k, m, band, gate, scales.get(horizon, 1.0))
-        return out.assign(fold=fold, horizon=horizon)[[c.split()[0] for c in INTERVALS.split(", ")]]
-
-    return _prepared(df, extra_cost_bps).select(*cols).groupBy("fold", "horizon").applyInPandas(kernel, INTERVALS)
+        fold, horizon, day = (int(pdf[c].iloc[0]) for c in ("fold", "horizon", "day"))
+        wide = pdf.set_index(["ti", "symbol"])[["score", "fresh", "ret", "half"]].unstack("symbol").sort_index()
+        of = lambda c, fill: wide[c].astype(float).fillna(fill).to_numpy()
+        values = of("score", np.nan)
+        values[~np.isfinite(values)] = np.nan
+        out = day_intervals(values, of("fresh", 0.0).any(axis=1), of("ret", 0.0), of("half", 50.0), rebalance[horizon], k, m, band, gate, scales.get(horizon, 1.0))
+        at = out.pop("at")
+        return pd.DataFrame({"fold": fold, "horizon": horizon, "day": day, "t": wide.index.to_numpy()[at], **{c: out.get(c, np.zeros(0)) for c in names[4:]}}, index=range(len(at)))[names]
+
+    return _prepared(df, extra_cost_bps).select(*cols).groupBy("fold", "horizon", "day").applyInPandas(kernel, INTERVALS)
 
 
 def portfolio_summary(intervals: DataFrame) -> DataFrame:

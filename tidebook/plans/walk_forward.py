@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.windows import percentile_rank
 from tidebook.operators import metrics as M
 from tidebook.operators import simulators as S
 from tidebook.operators.folds import day_folds, fold_bounds, fold_split
@@ -17,7 +16,7 @@ from tidebook.operators.targets import TARGETS
 from tidebook.sources.cache import written
 from tidebook.sources.report import as_text, over_folds
 
-KEEP = ("symbol", "date", "ts_event", "spread_bps", "ret_bps", "bid_sz_00", "ask_sz_00", "trade_size_buy", "trade_size_sell", "microprice_dev_bps", "mom_60s")
+KEEP = ("symbol", "date", "ts_event", "spread_bps", "ret_bps", "bid_sz_00", "ask_sz_00", "trade_size_buy", "trade_size_sell", "microprice_dev_bps", "mom_60s_z180", "rank_mom_60s")
 
 
 def tagged_folds(df: DataFrame, n_splits: int = 5, purge_us: int = 900_000_000, train_days: int = 0) -> DataFrame:
@@ -53,15 +52,21 @@ def predictions(tagged: DataFrame, features: Sequence[str], targets: Sequence[st
 
 
 def signal_metrics(scored: DataFrame, least_names: int = 5, overlap: dict[int, int] | None = None) -> DataFrame:
-    """(fold, horizon) rank correlation with its robust t, two baselines' rank correlations, AUC, hit rate, error.
-    ``overlap``: lags of a horizon's t-statistic (its length in rows)."""
+    """(fold, horizon) rank correlation with its robust t, two baselines' rank correlations with theirs, AUC, hit rate
+    and information ratio with robust t, error. ``overlap``: lags of a horizon's t-statistics, its length in rows (1
+    where it isn't given). The momentum baseline is mom_60s_z180, else rank_mom_60s."""
     keys = ["fold", "horizon"]
     out = M.pair_metrics(scored, "score", "y", keys).join(M.auc(scored, "score", F.col("y") > 0, keys), keys)
-    longest = max((overlap or {0: 1}).values())
-    out = out.join(M.rank_ic(scored, "score", "y", least_names=least_names, overlap=longest, by=keys).select(*keys, F.col("mean_ic").alias("rank_ic"), F.col("t").alias("rank_ic_t")), keys, "left")
-    for name, c in (("micro_ic", "microprice_dev_bps"), ("mom_ic", "mom_60s")):
-        if c in scored.columns:
-            out = out.join(M.rank_ic(scored, c, "y", least_names=least_names, by=keys).select(*keys, F.col("mean_ic").alias(name)), keys, "left")
+    momentum = next((c for c in ("mom_60s_z180", "rank_mom_60s") if c in scored.columns), None)
+    wanted = [("rank", "score"), *[(n, c) for n, c in (("micro", "microprice_dev_bps"), ("mom", momentum)) if c in scored.columns]]
+    parts: dict[str, DataFrame] = {}
+    for h in sorted(overlap or {r[0]: 1 for r in scored.select("horizon").distinct().collect()}):  # a value a horizon
+        rows, lags = scored.where(F.col("horizon") == h), (overlap or {}).get(h, 1)
+        found = {n: M.rank_ic(rows, c, "y", least_names=least_names, overlap=lags, by=keys).select(*keys, F.col("mean_ic").alias(f"{n}_ic"), F.col("t").alias(f"{n}_ic_t")) for n, c in wanted}
+        found["pair"] = M.pair_tstats(rows, "score", "y", lags, by=keys)
+        parts = {n: parts[n].unionByName(df) if n in parts else df for n, df in found.items()}
+    for df in parts.values():
+        out = out.join(df, keys, "left")
     return out
 
 
@@ -74,28 +79,20 @@ def simulator_rows(scored: DataFrame) -> DataFrame:
     return rows.withColumnsRenamed(named).withColumns({"day": F.col("day").cast("int"), "scored": F.lit(True), "valid": F.col("score").isNotNull(), "ret1s": F.col("ret_bps") / 1e4})
 
 
-def simulations(scored: DataFrame, rebalance: dict[int, int], k: int = 5, buffer: int | None = None, band: float = 0.0, gate: float = 0.0, signal_horizon: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Portfolio metrics by fold and horizon, and the market maker's by fold and arm for one horizon's score."""
+def simulations(scored: DataFrame, rebalance: dict[int, int], k: int = 5, buffer: int | None = None, band: float = 0.0, gate: float = 0.0, signal_horizon: int = 0, scale: dict[int, float] | None = None, extra_cost_bps: float = 0.0, maker_gate: float = 0.0, **maker) -> tuple[DataFrame, DataFrame]:
+    """Portfolio metrics by fold and horizon, and the market maker's by fold and arm for one horizon's score. Without a
+    ``buffer`` held names stay within 2 k ranks. ``scale`` turns a horizon's score into a return; ``maker`` are the
+    market maker's settings."""
     rows = simulator_rows(scored)
-    portfolio = S.portfolio_summary(S.long_short(rows, rebalance, k, buffer, band, gate))
+    portfolio = S.portfolio_summary(S.long_short(rows, rebalance, k, buffer if buffer and buffer > 0 else 2 * k, band, gate, scale, extra_cost_bps))
     mine = rows.where(F.col("horizon") == signal_horizon)
     makers = None
     for fold in [r[0] for r in mine.select("fold").distinct().orderBy("fold").collect()]:
-        one = S.maker_summary(S.market_making(mine.where(F.col("fold") == fold))).withColumn("fold", F.lit(fold))
+        one = S.maker_summary(S.market_making(mine.where(F.col("fold") == fold), scale=scale[signal_horizon] if scale else 1.0, gate=maker_gate, **maker)).withColumn("fold", F.lit(fold))
         makers = one if makers is None else makers.unionByName(one)
     return portfolio, makers
 
 
-def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    """A reproducible random order of rows, from a hash of their time and the seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "ts_event"), "ts_event")
-
-
-def relative_strength(df: DataFrame, c: str) -> DataFrame:
-    """A baseline predictor: the cross-sectional rank of a feature."""
-    return df.withColumn(f"rank_{c}", percentile_rank(c))
-
-
 def report(metrics: DataFrame, portfolio: DataFrame | None = None, makers: DataFrame | None = None) -> str:
     """The text report: means and deviations over folds."""
     parts = [as_text(over_folds(metrics), "Signal metrics by horizon", ["horizon"])]

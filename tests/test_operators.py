@@ -136,7 +136,7 @@ def test_graph_queries_cover_every_window_end(spark):
     times = QUERIES["panel_dense"](spark, SMALL).select("ti", "day").distinct().toPandas()
     start = times.groupby("day").ti.transform("min")
     want = set(times.ti[times.ti - start >= 29])
-    for name in ("corr_edges_full", "edges_topk_full"):
+    for name in ("corr_edges", "edges_topk"):
         got = QUERIES[name](spark, SMALL).where("rel = 0").select("te", "src").toPandas()
         assert set(got.te) == want and len(got) == 8 * len(want), name
 
@@ -147,7 +147,7 @@ def test_every_bar_has_descriptors(spark):
     from tidebook.plans.queries import QUERIES, mids
 
     bars = mids(spark, SMALL).groupBy("symbol").count().toPandas()
-    got = QUERIES["traj_descriptors_full"](spark, SMALL).groupBy("symbol").agg(F.count("*").alias("n"), F.count("slope").alias("slopes")).toPandas()
+    got = QUERIES["traj_descriptors"](spark, SMALL).groupBy("symbol").agg(F.count("*").alias("n"), F.count("slope").alias("slopes")).toPandas()
     both = bars.merge(got, on="symbol")
     assert (both.n == both["count"] - 1).all() and (both.slopes == both["count"] - 4).all()  # the first has no past; slopes take 4
 
@@ -158,7 +158,7 @@ def test_macro_row_is_the_last_one(spark):
     from tidebook.plans.queries import QUERIES, mids
 
     times = np.sort(mids(spark, SMALL).where("symbol = 'S7'").select("ts_event").toPandas().ts_event.to_numpy())
-    got = QUERIES["asof_macro_full"](spark, SMALL).select("ts_event", "ts_ES").toPandas()
+    got = QUERIES["asof_macro"](spark, SMALL).select("ts_event", "ts_ES").toPandas()
     at = np.searchsorted(times, got.ts_event.to_numpy(), "right") - 1
     want = np.where(at >= 0, times[np.maximum(at, 0)], -1)
     assert (got.ts_ES.fillna(-1).to_numpy() == want).all()

@@ -107,11 +107,6 @@ def demeaned(c: str | Column, key: str = TIME) -> Column:
     return col(c) - F.avg(col(c)).over(Window.partitionBy(key))
 
 
-def run_number(c: str | Column, keys: Sequence[str], order: str) -> Column:
-    """Numbers runs of equal values from 0 (gaps and islands); apply to a column that already holds the change flag."""
-    return F.sum(col(c).cast("int")).over(series(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-
-
 def with_drawdown(df: DataFrame, c: str, keys: Sequence[str], order: str) -> DataFrame:
     """Adds equity (running sum) and drawdown (running peak less equity)."""
     run = series(keys, order).rowsBetween(Window.unboundedPreceding, 0)

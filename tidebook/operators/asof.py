@@ -36,9 +36,3 @@ def asof_join(left: DataFrame, right: DataFrame, prefix: str, columns: Sequence[
     out = seen.select("__left.*", *[F.col("__own")[c].alias(f"{prefix}_{c}") for c in columns], F.col("__own")["__t"].alias(f"ts_{prefix}"))
     age = F.coalesce(F.floor((F.col(on) - F.col(f"ts_{prefix}")) / 1000).cast("long"), F.lit(999999).cast("long"))
     return out.withColumn(f"{prefix}_age_ms", age).withColumn(f"{prefix}_stale_flag", (F.col(f"{prefix}_age_ms") > stale_after_ms).cast("int"))
-
-
-def latest_within(df: DataFrame, value: str, name: str, keys: Sequence[str], order: str) -> DataFrame:
-    """Adds the last value that is not null at or before each row, within keys."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))

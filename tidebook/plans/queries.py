@@ -189,16 +189,17 @@ def vpin_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RV = f"{MID_SQL}, x0 AS (SELECT *, ret_bps * ret_bps AS r2, abs(ret_bps) * abs(lag(ret_bps) OVER ({WIN})) * 1.5707963267948966::DOUBLE AS rb, abs(ret_bps) / (trade_volume + 1.0) AS il, ret_bps * signed_trade_size AS xy, signed_trade_size * signed_trade_size AS yy FROM f2), x1 AS (SELECT *, {', '.join(f'{sql_gated(a, c, 60)} AS {n}' for a, c, n in (('sum', 'r2', 'rv'), ('sum', 'rb', 'bv'), ('avg', 'il', 'amihud'), ('avg', 'xy', 'mxy'), ('avg', 'ret_bps', 'mx'), ('avg', 'signed_trade_size', 'my'), ('avg', 'yy', 'myy')))} FROM x0)"
 
 
-@query(f"WITH {_RV} SELECT symbol, ts_event, {r('ln(1.0 + rv)', 6, 'rv_60s')}, {r('ln(1.0 + bv)', 6, 'bv_60s')}, {r('greatest(rv - bv, 0.0) / (rv + 1e-9)', 6, 'jump_ratio')} FROM x1 WHERE rv IS NOT NULL AND bv IS NOT NULL")
+@query(f"WITH {_RV} SELECT symbol, ts_event, {r('ln(1.0 + rv)', 6, 'rv_60s')}, {r('ln(1.0 + bv)', 6, 'bv_60s')}, {r('CASE WHEN rv - bv IS NOT NULL THEN greatest(rv - bv, 0.0) / (rv + 1e-9) END', 6, 'jump_ratio')} FROM x1")
 def rv_bv_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = FE.variation(mids(spark, sf_dir)).where("rv_60s is not null and bv_60s is not null")
+    df = FE.variation(mids(spark, sf_dir))
     return out(df, ["jump_ratio"], [*KEY, rounded(F.log1p("rv_60s")).alias("rv_60s"), rounded(F.log1p("bv_60s")).alias("bv_60s")])
 
 
-@query(f"WITH {_RV} SELECT symbol, ts_event, {r('amihud', 5, 'amihud_60s')}, {r('(mxy - mx * my) / nullif(myy - my * my + 1e-9, 0)', 4, 'kyle_lambda_60s')} FROM x1 WHERE myy - my * my > 1e-6")
+@query(f"WITH {_RV} SELECT symbol, ts_event, {r('amihud', 5, 'amihud_60s')}, {r('CASE WHEN myy - my * my > 1e-6 THEN (mxy - mx * my) / (myy - my * my + 1e-9) END', 4, 'kyle_lambda_60s')} FROM x1")
 def kyle_amihud(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = FE.variation(mids(spark, sf_dir)).withColumn("__v", W.gated(F.avg, F.col("signed_trade_size") * F.col("signed_trade_size"), 60) - F.pow(W.gated(F.avg, "signed_trade_size", 60), F.lit(2.0)))
-    return df.where("__v > 1e-6").select(*KEY, rounded("amihud_60s", 5).alias("amihud_60s"), rounded("kyle_lambda_60s", 4).alias("kyle_lambda_60s"))
+    # a slope over hardly any variation is noise in its last digits
+    return df.select(*KEY, rounded("amihud_60s", 5).alias("amihud_60s"), rounded(F.when(F.col("__v") > 1e-6, F.col("kyle_lambda_60s")), 4).alias("kyle_lambda_60s"))
 
 
 _CVD = f"{_OFI}"
@@ -227,11 +228,11 @@ def ewm_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*KEY, rounded("ewm_mean", 5).alias("ewm_mean"), rounded("ewm_std", 4).alias("ewm_std"))
 
 
-@query(f"WITH RECURSIVE {MID_SQL}, {_ewm_sql('f2', 'ln(greatest(trade_volume, 0.0) + 1.0)', 180)} SELECT symbol, ts_event, {r('least(greatest((x - mean) / (std + 1e-9), -10.0), 10.0)', 3, 'volume_z180')} FROM e WHERE std > 1e-6")
+@query(f"WITH RECURSIVE {MID_SQL}, {_ewm_sql('f2', 'ln(greatest(trade_volume, 0.0) + 1.0)', 180)} SELECT symbol, ts_event, {r('CASE WHEN std > 1e-6 THEN least(greatest((x - mean) / (std + 1e-9), -10.0), 10.0) END', 3, 'volume_z180')} FROM e")
 def ewm_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mids(spark, sf_dir).select("symbol", "date", "ts_event", F.ln(F.greatest("trade_volume", F.lit(0.0)) + 1.0).alias("x"), "trade_volume")
     df = with_ewm(df, [Spec("z_log", "trade_volume", 180, "volume_z180"), Spec("std", "x", 180, "s")])
-    return df.where("s > 1e-6").select(*KEY, rounded("volume_z180", 3).alias("volume_z180"))
+    return df.select(*KEY, rounded(F.when(F.col("s") > 1e-6, F.col("volume_z180")), 3).alias("volume_z180"))
 
 
 @query(f"WITH RECURSIVE {MID_SQL}, {_ewm_sql('f2', 'msg_count', 5)}, a AS (SELECT symbol, ts_event, mean AS m5 FROM e), {_ewm_sql('f2', 'msg_count', 60).replace('n0 AS', 'n1 AS').replace('FROM n0', 'FROM n1').replace('JOIN n0', 'JOIN n1').replace('walk', 'walk2').replace('e AS (', 'e2 AS (')} SELECT symbol, ts_event, {r('m5 / (mean + 1e-9)', 5, 'msg_intensity_ratio')} FROM a JOIN e2 USING (symbol, ts_event)")
@@ -280,27 +281,14 @@ def warmup_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(df.where(TG.in_session()), ["mid_price"])
 
 
-_MACRO = f"macro AS (SELECT ts_event, max(mid_price) AS macro_mid FROM f2 WHERE symbol = 'S7' AND (ts_event // {WIDTH_US}) % 7 = 0 GROUP BY ts_event)"
-
-
-def _macro_joined(spark: SparkSession, sf_dir: str, some: Column) -> DataFrame:
-    df = mids(spark, sf_dir).select("symbol", "date", "ts_event", "mid_price")
-    right = df.where((F.col("symbol") == "S7") & some).select("date", "ts_event", "mid_price")
-    joined = asof_join(df.where("symbol <> 'S7'"), right, "ES", ["mid_price"])
-    return joined.select(*KEY, rounded("ES_mid_price").alias("ES_mid_price"), "ts_ES", "ES_age_ms", "ES_stale_flag")
+_MACRO = "macro AS (SELECT ts_event, max(mid_price) AS macro_mid FROM f2 WHERE symbol = 'S7' GROUP BY ts_event)"
 
 
 @query(f"WITH {MID_SQL}, {_MACRO} SELECT a.symbol, a.ts_event, {r('m.macro_mid', 6, 'ES_mid_price')}, m.ts_event AS ts_ES, coalesce((a.ts_event - m.ts_event) // 1000, 999999) AS ES_age_ms, (coalesce((a.ts_event - m.ts_event) // 1000, 999999) > 5000)::INT AS ES_stale_flag FROM f2 a ASOF LEFT JOIN macro m ON a.ts_event >= m.ts_event WHERE a.symbol <> 'S7'")
 def asof_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _macro_joined(spark, sf_dir, F.floor(F.col("ts_event") / WIDTH_US) % 7 == 0)
-
-
-_MACRO_FULL = _MACRO.replace(f" AND (ts_event // {WIDTH_US}) % 7 = 0", "")
-
-
-@query(SQL["asof_macro"].replace(_MACRO, _MACRO_FULL))
-def asof_macro_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _macro_joined(spark, sf_dir, F.lit(True))
+    df = mids(spark, sf_dir).select("symbol", "date", "ts_event", "mid_price")
+    joined = asof_join(df.where("symbol <> 'S7'"), df.where("symbol = 'S7'").select("date", "ts_event", "mid_price"), "ES", ["mid_price"])
+    return joined.select(*KEY, rounded("ES_mid_price").alias("ES_mid_price"), "ts_ES", "ES_age_ms", "ES_stale_flag")
 
 
 @query(f"WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders), l AS (SELECT l_shipdate, max(l_orderkey) AS k FROM lineitem GROUP BY 1) SELECT o.o_orderkey, l.k AS L_k FROM o ASOF LEFT JOIN l ON o.o_orderdate >= l.l_shipdate")
@@ -387,31 +375,19 @@ def event_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRAJ = f"""{MID_SQL}, b0 AS (SELECT symbol, ts_event, mid_price, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - 1 AS bar FROM f2),
-pts AS (SELECT a.symbol, a.ts_event, (b.bar - (a.bar - 1 - 9)) * 0.05::DOUBLE AS x, b.mid_price AS v, b.bar FROM b0 a JOIN b0 b ON a.symbol = b.symbol AND b.bar BETWEEN a.bar - 10 AND a.bar - 1 WHERE a.bar % 50 = 0),
+pts AS (SELECT a.symbol, a.ts_event, (b.bar - (a.bar - 1 - 9)) * 0.05::DOUBLE AS x, b.mid_price AS v, b.bar FROM b0 a JOIN b0 b ON a.symbol = b.symbol AND b.bar BETWEEN a.bar - 10 AND a.bar - 1),
 st AS (SELECT *, v - lag(v) OVER (PARTITION BY symbol, ts_event ORDER BY bar) AS d FROM pts),
 ag AS (SELECT symbol, ts_event, count(v) AS n, regr_slope(v, x) AS slope, arg_max(v, bar) - arg_min(v, bar) AS net_change, count(d) AS nd, sum((d > 0)::INT) AS ups, sum(d) AS net, sum(abs(d)) AS path, var_pop(d) AS vd FROM st GROUP BY ALL)"""
 
 
-def _descriptors(spark: SparkSession, sf_dir: str, anchor: Column) -> DataFrame:
+@query(f"WITH {_TRAJ} SELECT symbol, ts_event, {r('CASE WHEN n >= 4 THEN slope END', 2, 'slope')}, {r('CASE WHEN n >= 2 THEN net_change END', 5, 'net_change')}, {r('CASE WHEN nd >= 5 THEN ups / nd END', 6, 'monotonicity')}, {r('CASE WHEN nd >= 5 AND path > 0 THEN abs(net) / path END', 5, 'efficiency')}, {r('CASE WHEN nd >= 5 AND vd > 1e-24 THEN abs(net) / sqrt(vd) END', 4, 'drift_vol')} FROM ag")
+def traj_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     bar = F.row_number().over(Window.partitionBy("symbol").orderBy("ts_event")) - 1
-    df = mids(spark, sf_dir).withColumn("bar", bar).withColumn("is_anchor", anchor)
+    df = mids(spark, sf_dir).withColumn("bar", bar).withColumn("is_anchor", F.col("bar") > 0)
     df = TR.with_descriptors(TR.with_trajectories(df, "mid_price", 10, -1))
     return df.select(*KEY, *[rounded(c, d).alias(c) for c, d in (("slope", 2), ("net_change", 5), ("monotonicity", 6), ("efficiency", 5), ("drift_vol", 4))])
 
 
-@query(f"WITH {_TRAJ} SELECT symbol, ts_event, {r('CASE WHEN n >= 4 THEN slope END', 2, 'slope')}, {r('CASE WHEN n >= 2 THEN net_change END', 5, 'net_change')}, {r('CASE WHEN nd >= 5 THEN ups / nd END', 6, 'monotonicity')}, {r('CASE WHEN nd >= 5 AND path > 0 THEN abs(net) / path END', 5, 'efficiency')}, {r('CASE WHEN nd >= 5 AND vd > 1e-24 THEN abs(net) / sqrt(vd) END', 4, 'drift_vol')} FROM ag")
-def traj_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _descriptors(spark, sf_dir, (F.col("bar") % 50 == 0) & (F.col("bar") > 0))
-
-
-_TRAJ_FULL = _TRAJ.replace(" WHERE a.bar % 50 = 0", "")
-
-
-@query(f"WITH {_TRAJ_FULL} SELECT symbol, ts_event, {r('CASE WHEN n >= 4 THEN slope END', 2, 'slope')}, {r('CASE WHEN n >= 2 THEN net_change END', 5, 'net_change')}, {r('CASE WHEN nd >= 5 THEN ups / nd END', 6, 'monotonicity')}, {r('CASE WHEN nd >= 5 AND path > 0 THEN abs(net) / path END', 5, 'efficiency')}, {r('CASE WHEN nd >= 5 AND vd > 1e-24 THEN abs(net) / sqrt(vd) END', 4, 'drift_vol')} FROM ag")
-def traj_descriptors_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _descriptors(spark, sf_dir, F.col("bar") > 0)
-
-
 _LIFT = f"""{MID_SQL}, d0 AS (SELECT obi, fwd FROM (SELECT (bid_sz_00 - ask_sz_00) / (bid_sz_00 + ask_sz_00) AS obi, lead(mid_price, 6) OVER ({WIN}) / nullif(mid_price, 0) - 1 AS fwd FROM f2) WHERE fwd IS NOT NULL),
 q AS (SELECT quantile_cont(obi, 0.9) AS hi, quantile_cont(obi, 0.1) AS lo, avg(fwd) AS m, stddev_samp(fwd) AS s, count(*) AS n FROM d0),
 sides AS (SELECT 'long' AS direction, fwd, m, s, n, 1 AS want FROM d0, q WHERE obi >= hi UNION ALL SELECT 'short', fwd, m, s, n, -1 FROM d0, q WHERE obi <= lo)"""
@@ -466,15 +442,17 @@ def panel_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.forward_filled(_panel(spark, sf_dir), ["spread_bps"]).select("ts_event", "symbol", rounded("spread_bps", 5).alias("spread_bps"))
 
 
-@query(f"WITH {_PANEL}, s AS (SELECT avg(spread_bps) AS m, CASE WHEN stddev_pop(spread_bps) > 1e-8 THEN stddev_pop(spread_bps) ELSE 1 END AS d FROM panel WHERE day < 20) SELECT ts_event, symbol, {r('CASE WHEN spread_bps IS NULL THEN 0.0 ELSE least(greatest((spread_bps - m) / d, -10.0), 10.0) END', 5, 'z')} FROM panel, s")
+@query(f"WITH {_PANEL.replace("panel AS (", "panel AS MATERIALIZED (")}, s AS (SELECT avg(spread_bps) AS m, CASE WHEN stddev_pop(spread_bps) > 1e-8 THEN stddev_pop(spread_bps) ELSE 1 END AS d FROM panel WHERE day < 20) SELECT ts_event, symbol, {r('CASE WHEN spread_bps IS NULL THEN 0.0 ELSE least(greatest((spread_bps - m) / d, -10.0), 10.0) END', 5, 'z')} FROM panel, s")
 def zscale_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _panel(spark, sf_dir)
     return P.standardised(p, P.train_stats(p.where("day < 20"), ["spread_bps"]), ["spread_bps"]).select("ts_event", "symbol", rounded("spread_bps", 5).alias("z"))
 
 
-_GRAPH_ENDS = "SELECT ti AS te, greatest(ti - 300, ds) AS lo FROM (SELECT DISTINCT ti, day FROM panel) JOIN (SELECT day, min(ti) AS ds FROM panel GROUP BY day) USING (day) WHERE ti % 500 = 0 AND ti >= 100"
-_GRAPH = f"""{_PANEL}, g0 AS (SELECT ti, symbol AS node, coalesce(ret_bps, 0.0) AS ret FROM panel), spans AS ({_GRAPH_ENDS}),
-rows_ AS (SELECT te, lo, ti, node, ret FROM spans JOIN g0 ON ti BETWEEN lo AND te),
+#: Fixed value: the last rows of a window that must lie in its end's day, the reference's sequence length.
+SEQ = 30
+_GRAPH_ENDS = f"SELECT ti AS te, greatest(ti - 300, ds) AS lo FROM (SELECT DISTINCT ti, day FROM panel) JOIN (SELECT day, min(ti) AS ds FROM panel GROUP BY day) USING (day) WHERE ti - ds >= {SEQ - 1}"
+_GRAPH = f"""{_PANEL.replace("panel AS (", "panel AS MATERIALIZED (")}, g0 AS MATERIALIZED (SELECT ti, symbol AS node, coalesce(ret_bps, 0.0) AS ret FROM panel), spans AS ({_GRAPH_ENDS}),
+rows_ AS MATERIALIZED (SELECT te, lo, ti, node, ret FROM spans JOIN g0 ON ti BETWEEN lo AND te),
 now_ AS (SELECT a.te, a.node AS i, b.node AS j, coalesce(covar_samp(a.ret, b.ret), 0.0) AS cov, var_pop(a.ret) AS vi0, var_pop(b.ret) AS vj0 FROM rows_ a JOIN rows_ b ON a.te = b.te AND a.ti = b.ti GROUP BY ALL),
 stat AS (SELECT te, i, j, cov / (sqrt(CASE WHEN vi0 > 0 THEN vi0 ELSE 1e-12 END) * sqrt(CASE WHEN vj0 > 0 THEN vj0 ELSE 1e-12 END)) AS corr, least(greatest(cov / CASE WHEN vj0 > 0 THEN vj0 ELSE 1e-12 END, -5.0), 5.0) AS beta FROM now_),
 late AS (SELECT a.te, a.node AS i, b.node AS j, CASE WHEN count(*) >= 2 AND stddev_pop(a.ret) * stddev_pop(b.ret) > 0 THEN covar_samp(a.ret, b.ret) / (stddev_pop(a.ret) * stddev_pop(b.ret)) ELSE 0.0 END AS ll FROM rows_ a JOIN rows_ b ON a.te = b.te AND a.ti = b.ti + 5 GROUP BY ALL),
@@ -482,39 +460,31 @@ pair AS (SELECT te, i, j, corr, beta, coalesce(ll, 0.0) AS ll, substr(i, 2)::INT
 rel AS (SELECT *, CASE WHEN i = j THEN 0 WHEN ei AND mj AND (abs(corr) >= 0.1 OR abs(ll) >= 0.1) THEN 1 WHEN j = 'S0' AND ei THEN 6 WHEN ei AND nj < 6 AND ni % 2 = nj % 2 THEN 5 WHEN abs(ll) >= 0.1 THEN 4 WHEN corr <= -0.2 THEN 3 WHEN corr >= 0.2 THEN 2 END AS rel FROM pair)"""
 
 
-#: Fixed value: the last rows of a window that must lie in its end's day, the reference's sequence length.
-SEQ = 30
+def _tie(c: str, name: str | None = None) -> str:
+    """SQL: rounding to four digits by a hair more than a half, so that exact ties don't hang on the last bit: a
+    self-loop's correlation is n / (n - 1)."""
+    return f"floor(({c})::DOUBLE * 10000.0::DOUBLE + 0.5003::DOUBLE) / 10000.0::DOUBLE AS {name or c}"
 
 
-def _edges(spark: SparkSession, sf_dir: str, top_k: int, every: bool = False) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, top_k: int) -> DataFrame:
     # read by every pair statistic: written once
     panel = written(_panel(spark, sf_dir).select("ti", "day", F.col("symbol").alias("node"), F.coalesce("ret_bps", F.lit(0.0)).alias("ret")), "panel")
     n = F.substring("node", 2, 3).cast("int")
     nodes = panel.select("node").distinct().select("node", F.when(n < 6, "equity").otherwise("macro").alias("kind"), (n % 2).alias("sector"))
-    ends = None if every else GR.window_ends(panel, (300, 1800), step=500, first=100)
-    return GR.dynamic_edges(panel, nodes, ends, top_k=top_k, market="S0", seq=SEQ)
+    return GR.dynamic_edges(panel, nodes, None, top_k=top_k, market="S0", seq=SEQ)
 
 
-@query(f"WITH {_GRAPH} SELECT te, j AS src, i AS dst, rel, {r('corr', 4)}, {r('beta', 4, 'beta_5m')}, {r('ll', 4, 'lead_lag_5s')} FROM rel WHERE rel IS NOT NULL")
+@query(f"WITH {_GRAPH} SELECT te, j AS src, i AS dst, rel, {_tie('corr')}, {_tie('beta', 'beta_5m')}, {_tie('ll', 'lead_lag_5s')} FROM rel WHERE rel IS NOT NULL")
 def corr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_edges(spark, sf_dir, 0), ["corr", "beta_5m", "lead_lag_5s"], [F.col("te").cast("long").alias("te"), "src", "dst", "rel"], 4)
+    values = [(F.floor(F.col(c) * 1e4 + F.lit(0.5003)) / 1e4).alias(c) for c in ("corr", "beta_5m", "lead_lag_5s")]
+    return _edges(spark, sf_dir, 0).select(F.col("te").cast("long").alias("te"), "src", "dst", "rel", *values)
 
 
-@query(f"WITH {_GRAPH} SELECT te, j AS src, i AS dst, rel FROM (SELECT *, row_number() OVER (PARTITION BY te, i, rel IN (2, 3, 4) ORDER BY greatest(abs(corr), abs(ll)) DESC, j) AS n FROM rel WHERE rel IS NOT NULL) WHERE rel NOT IN (2, 3, 4) OR n <= 1")
+@query(f"WITH {_GRAPH} SELECT te, j AS src, i AS dst, rel FROM (SELECT *, row_number() OVER (PARTITION BY te, i, rel IN (2, 3, 4) ORDER BY round(greatest(abs(corr), abs(ll)), 9) DESC, j) AS n FROM rel WHERE rel IS NOT NULL) WHERE rel NOT IN (2, 3, 4) OR n <= 1")
 def edges_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir, 1).select(F.col("te").cast("long").alias("te"), "src", "dst", "rel")
 
 
-@query()
-def corr_edges_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_edges(spark, sf_dir, 0, every=True), ["corr", "beta_5m", "lead_lag_5s"], [F.col("te").cast("long").alias("te"), "src", "dst", "rel"], 4)
-
-
-@query()
-def edges_topk_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir, 1, every=True).select(F.col("te").cast("long").alias("te"), "src", "dst", "rel")
-
-
 @query("SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
 def sector_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GR.sector_pairs(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey")
@@ -576,10 +546,32 @@ def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(df, ["equity", "drawdown"], ["ts_event"], 5)
 
 
-@query()
+_DECAY = repr(0.5 ** (1.0 / 60)) + "::DOUBLE"
+_KALMAN = f"""{MID_SQL}, n0 AS MATERIALIZED (SELECT symbol, ts_event, mid_price AS y, spread_bps AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) AS n FROM f2),
+walk AS (SELECT symbol, 0::BIGINT AS ts_event, 0::BIGINT AS n, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS p, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d, 0.0::DOUBLE AS e, 0.0::DOUBLE AS e0, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, 0.0::DOUBLE AS v FROM n0 WHERE n = 1 UNION ALL
+ SELECT symbol, ts_event, n, CASE WHEN known THEN a + g * e ELSE a END, CASE WHEN known THEN b + h * e ELSE b END, CASE WHEN known THEN p - g * f + 1e-5::DOUBLE ELSE p END, CASE WHEN known THEN c - g * k ELSE c END, CASE WHEN known THEN d - h * k + 1e-5::DOUBLE ELSE d END,
+  e, CASE WHEN n = 1 THEN e ELSE e0 END, s0 * {_DECAY} + 1, CASE WHEN n = 1 THEN 0.0 ELSE s1 * {_DECAY} + (e - e0) END, CASE WHEN n = 1 THEN 0.0 ELSE s2 * {_DECAY} + (e - e0) * (e - e0) END, v * {_DECAY} * {_DECAY} + 1
+ FROM (SELECT *, f / r AS g, k / r AS h FROM (SELECT w.* EXCLUDE (ts_event, n, e), r.ts_event, r.n, r.y IS NOT NULL AND r.x IS NOT NULL AS known, coalesce(r.y - w.a - w.b * r.x, 0.0) AS e, w.p + w.c * r.x AS f, w.c + w.d * r.x AS k, w.p + 2 * w.c * r.x + w.d * r.x * r.x + 1e-3::DOUBLE AS r
+  FROM walk w JOIN n0 r ON r.symbol = w.symbol AND r.n = w.n + 1))),
+out_ AS (SELECT symbol, ts_event, e, CASE WHEN n > 1 THEN sqrt(greatest((s2 / s0 - (s1 / s0) * (s1 / s0)) * s0 * s0 / (s0 * s0 - v), 0.0)) ELSE 0.0 END AS sd FROM walk WHERE n > 0)"""
+
+
+@query(f"WITH RECURSIVE {_KALMAN} SELECT symbol, ts_event, {r('e', 4, 'kalman_epsilon')}, {r('CASE WHEN sd > 0 THEN e / sd ELSE 0.0 END', 3, 'kalman_z_score')} FROM out_")
 def kalman_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mids(spark, sf_dir).select("symbol", "date", "ts_event", "mid_price", "spread_bps")
-    return with_kalman(df, "mid_price", ["spread_bps"]).select(*KEY, "kalman_epsilon", "kalman_z_score")
+    return with_kalman(df, "mid_price", ["spread_bps"]).select(*KEY, rounded("kalman_epsilon", 4).alias("kalman_epsilon"), rounded("kalman_z_score", 3).alias("kalman_z_score"))
+
+
+def _robust_sql(c: str, lags: int) -> str:
+    """CTEs {c}_t(symbol, n, t): the t-statistic of c's mean with Bartlett weights, by a join on places."""
+    return f"""{c}_e AS (SELECT symbol, {c} - avg({c}) OVER (PARTITION BY symbol) AS e, avg({c}) OVER (PARTITION BY symbol) AS m, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) AS i FROM pooled WHERE {c} IS NOT NULL),
+{c}_g AS (SELECT a.symbol, a.i - b.i AS l, any_value(a.m) AS m, any_value(a.n) AS n, sum(a.e * b.e) / any_value(a.n) AS g FROM {c}_e a JOIN {c}_e b ON a.symbol = b.symbol AND a.i - b.i BETWEEN 0 AND {lags} GROUP BY ALL),
+{c}_t AS (SELECT symbol, any_value(m) / sqrt(greatest(sum(CASE WHEN l = 0 THEN g ELSE 2 * (1 - l / {lags + 1}.0::DOUBLE) * g END), 1e-18) / any_value(n)) AS t FROM {c}_g GROUP BY symbol)"""
+
+
+@query(f"WITH {_SCORE}, pooled AS (SELECT symbol, ts_event, sign(p) * y AS traded, CASE WHEN y <> 0 THEN (sign(p) = sign(y))::INT - 0.5::DOUBLE END AS hit FROM sc WHERE p IS NOT NULL AND y IS NOT NULL), {_robust_sql('traded', 12)}, {_robust_sql('hit', 12)} SELECT symbol, {r('h.t', 4, 'hit_rate_t')}, {r('x.t', 4, 'ir_t')} FROM traded_t x JOIN hit_t h USING (symbol)")
+def robust_tstats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(M.pair_tstats(_scored(spark, sf_dir), "p", "y", 12, by=["symbol"]), ["hit_rate_t", "ir_t"], ["symbol"], 4)
 
 
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -595,9 +587,24 @@ def backtest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.portfolio_summary(S.long_short(rows, {0: 5, 1: 30}, k=2, buffer=3, band=0.05))
 
 
-@query()
+_MM = f"""{MID_SQL}, times AS (SELECT ts_event, row_number() OVER (ORDER BY ts_event) - 1 AS ti FROM (SELECT DISTINCT ts_event FROM f2)),
+m0 AS (SELECT symbol, date, ti, ts_event, greatest(least(ret_bps / 1e4, 0.02), -0.02) AS ret, greatest(coalesce(spread_bps, 0.0), 0.0) / 2e4 AS half,
+ least(greatest(0.25 * trade_size_sell / (bid_sz_00 + 1.0), 0.0), 1.0) AS buy, least(greatest(0.25 * trade_size_buy / (ask_sz_00 + 1.0), 0.0), 1.0) AS sell,
+ coalesce(last_value(CASE WHEN ti % 3 = 0 THEN coalesce((bid_sz_00 - ask_sz_00) / (bid_sz_00 + ask_sz_00), 0.0) END IGNORE NULLS) OVER (PARTITION BY symbol, date ORDER BY ti ROWS UNBOUNDED PRECEDING), 0.0) AS sig,
+ row_number() OVER (PARTITION BY symbol, date ORDER BY ti) AS n, count(*) OVER (PARTITION BY symbol, date) AS size FROM f2 JOIN times USING (ts_event)),
+m1 AS MATERIALIZED (SELECT arm, symbol, date, n, size, half, buy, sell, CASE WHEN arm = 'signal' THEN sig ELSE 0.0 END AS sig, lead(ret) OVER (PARTITION BY arm, symbol, date ORDER BY n) AS nxt, last_value(half) OVER (PARTITION BY arm, symbol, date ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS shut FROM m0, (SELECT unnest(['signal', 'baseline']) AS arm) WHERE size >= 3),
+walk AS (SELECT arm, symbol, date, 0::BIGINT AS n, 0.0::DOUBLE AS q, 0.0::DOUBLE AS spread, 0.0::DOUBLE AS adverse, 0.0::DOUBLE AS inv, 0.0::DOUBLE AS fills FROM m1 WHERE n = 1 UNION ALL
+ SELECT arm, symbol, date, n, q + b - s, spread + half * (b + s), adverse + nxt * (q + b - s), inv + abs(q + b - s), fills + b + s FROM (SELECT a.arm, a.symbol, a.date, a.n, a.half, a.nxt, w.q, w.spread, w.adverse, w.inv, w.fills,
+  CASE WHEN a.sig - 0.5 * w.q < 0 OR w.q >= 5 THEN 0.0 ELSE least(a.buy, greatest(0.0, 5.0 - w.q)) END AS b, CASE WHEN a.sig - 0.5 * w.q > 0 OR w.q <= -5 THEN 0.0 ELSE least(a.sell, greatest(0.0, 5.0 + w.q)) END AS s
+  FROM walk w JOIN m1 a ON a.arm = w.arm AND a.symbol = w.symbol AND a.date = w.date AND a.n = w.n + 1 AND a.n < a.size)),
+paths AS (SELECT w.arm, w.symbol, w.date, spread + adverse - abs(q) * shut AS pnl, spread, adverse, inv, fills, a.size - 1 AS steps FROM walk w JOIN m1 a USING (arm, symbol, date, n) WHERE w.n = a.size - 1),
+names AS (SELECT arm, count(DISTINCT symbol) AS n_eq FROM paths GROUP BY arm), days AS (SELECT arm, date, sum(pnl) AS pnl, sum(spread) AS spread, sum(adverse) AS adverse, sum(inv) AS inv, sum(fills) AS fills, max(steps) AS steps FROM paths GROUP BY ALL)"""
+_MM_OUT = {"sharpe": "avg(pnl) / stddev_pop(pnl) * sqrt(252.0::DOUBLE)", "pnl_per_day": "avg(pnl)", "pnl_bps_per_name_day": "avg(pnl) / any_value(n_eq) * 1e4", "spread_capture": "avg(spread)", "adverse_sel": "avg(adverse)", "avg_abs_inv": "sum(inv) / sum(steps)", "fill_rate": "sum(fills) / sum(steps)"}
+
+
+@query(f"WITH RECURSIVE {_MM} SELECT arm, count(*) AS n_days, {', '.join(r(v, 4, k) for k, v in _MM_OUT.items())} FROM days JOIN names USING (arm) GROUP BY arm")
 def mm_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.maker_summary(S.market_making(_simulated(spark, sf_dir)))
+    return out(S.maker_summary(S.market_making(_simulated(spark, sf_dir))), list(_MM_OUT), ["arm", "n_days"], 4)
 
 
 @query()

@@ -92,5 +92,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_counts,
     )
 }
+_ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+_CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+_EXTRA = "</s>[INST] ok [/INST]"
+
+
+def _escaped_sql(c: str) -> str:
+    """Length of a text escaped: a backslash more for each backslash and each control string."""
+    found = " + ".join(f"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in _CONTROLS)
+    return rf"(length({c}) + (length({c}) - length(replace({c}, '\', ''))) + {found})"
+
+
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_chat_formatting": f"""WITH c AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '{_EXTRA}' UNION ALL SELECT -7, 1, 'assistant', '{_EXTRA}'))
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' {_ORDER})) AS turns_sha256, coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(t, '' {_ORDER}) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256, sum({len("<|im_start|>")} + {_escaped_sql("r")} + (length(r) - length(replace(r, chr(10), ''))) + 1 + {_escaped_sql("t")} + {len("<|im_end|>") + 1})::BIGINT AS formatted_chars, 0::BIGINT AS rewritten_turns
+FROM c GROUP BY conv_id""",
+    "op2_minhash_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(s) AS h, s FROM (SELECT doc_id, array_to_string(words[i : i + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0))),
+n AS MATERIALIZED (SELECT doc_id, count(g.s) AS n_shingles FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM g a JOIN g b ON a.h = b.h AND a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(x.n_shingles) + any_value(y.n_shingles) - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, links.v FROM reach JOIN links ON links.u = reach.r)
+SELECT doc_id::BIGINT AS doc_id, n_shingles, min(r)::BIGINT AS component_id, doc_id = min(r) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n_shingles""",
+}

@@ -312,3 +312,93 @@ def test_network_pieces():
     out = models.graph_attention(h, src, dst, np.zeros((4, 1)), np.eye(2), np.eye(2), np.zeros((1, 2)), np.ones(2))
     np.testing.assert_allclose(out[[0, 2]], h[[0, 0]])
     assert min(h[1, 0], h[2, 0]) <= out[1, 0] <= max(h[1, 0], h[2, 0])
+
+
+def test_forward_fill_through_days(spark):
+    """Days without any value hand on what they were given; by_day starts anew."""
+    rows = [(0, 0, "A", 1.0), (1, 0, "A", None), (2, 1, "A", None), (3, 2, "A", None), (4, 2, "A", 5.0), (0, 0, "B", None), (4, 2, "B", None)]
+    p = spark.createDataFrame(rows, "ti long, day int, symbol string, x double")
+    got = {(r.ti, r.symbol): r.x for r in panel.forward_filled(p, ["x"]).collect()}
+    assert got == {(0, "A"): 1.0, (1, "A"): 1.0, (2, "A"): 1.0, (3, "A"): 1.0, (4, "A"): 5.0, (0, "B"): 0.0, (4, "B"): 0.0}
+    assert {r.ti: r.x for r in panel.forward_filled(p.where("symbol = 'A'"), ["x"], by_day=True).collect()} == {0: 1.0, 1: 1.0, 2: 0.0, 3: 0.0, 4: 5.0}
+
+
+def test_target_scales_take_rows_with_every_target(spark):
+    rows = [(True, 1.0, 2.0), (True, 3.0, 4.0), (True, 100.0, None), (True, 50.0, float("nan")), (True, 9.0, float("inf")), (False, 7.0, 7.0)]
+    p = spark.createDataFrame(rows, "present boolean, y double, z double")
+    scales = panel.target_scales(p, ["y", "z"])
+    assert tuple(scales.first()) == (1.0, 1.0)
+    assert sorted((r.y, r.z, r.target_valid) for r in panel.scaled_targets(p, scales, ["y", "z"]).collect()) == [(1.0, 2.0, True), (3.0, 4.0, True), (7.0, 7.0, False), (8.0, 0.0, False), (8.0, 0.0, False), (8.0, 8.0, False)]
+
+
+def test_asof_with_null_times_and_given_times(spark):
+    day = dt.date(2024, 1, 1)
+    left = spark.createDataFrame([("A", day, 5), ("A", day, 5), ("B", day, 9), ("C", day, None), ("D", None, 9)], "symbol string, date date, ts_event long")
+    right = spark.createDataFrame([(day, 4, 1.0), (day, 9, 2.0), (day, 9, 3.0), (day, None, 7.0)], "date date, ts_event long, x double")
+    want = [("A", 1.0, 4), ("A", 1.0, 4), ("B", 3.0, 9), ("C", None, None), ("D", None, None)]
+    times = spark.createDataFrame([(day, t) for t in (1, 5, 7, 9)], "date date, ts_event long")
+    for given in (None, times):
+        out = asof_join(left, right, "M", ["x"], times=given)
+        assert out.columns == ["symbol", "date", "ts_event", "M_x", "ts_M", "M_age_ms", "M_stale_flag"]
+        assert sorted((r.symbol, r.M_x, r.ts_M) for r in out.collect()) == want
+
+
+def _split_rows(spark, seed=3):
+    """Two days, three equities and a source; A misses a time, B a feature, the last targets are missing."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for t in range(16):
+        es = (float(rng.normal()), float(rng.normal()), int(t % 5 == 4))
+        for s in "ABC":
+            if (s, t) == ("A", 3):
+                continue
+            f = None if (s, t) == ("B", 9) else float(rng.normal())
+            y = None if t % 8 >= 6 else float(rng.normal())
+            rows.append((t * 1_000_000, dt.date(2024, 1, 1 + t // 8), s, float(rng.normal()), f, y, es[0], es[1], es[2]))
+    return rows, spark.createDataFrame(rows, "ts_event long, date date, symbol string, ret_bps double, spread_bps double, y double, ES_ret_bps double, ES_spread_bps double, ES_stale_flag int")
+
+
+def test_prepare_split_and_its_graphs(spark):
+    from tidebook.plans.split import prepare_split, split_graphs
+
+    rows, df = _split_rows(spark)
+    split = prepare_split(df, ["spread_bps"], ["y"], ["A", "B"], ["ES"])
+    got = {(r.ti, r.node): r for r in split.panel.collect()}
+    assert len(got) == 16 * 3
+    by = {(r[0] // 1_000_000, r[2]): r for r in rows}
+    raw, last = {}, {}
+    for t in range(16):
+        for s in "AB":
+            if (t, s) in by and by[t, s][4] is not None:
+                last[s] = by[t, s][4]
+            raw[t, s] = last.get(s, 0.0)
+        raw[t, "ES"] = by[t, "C"][7]
+    m, d = np.mean(list(raw.values())), np.std(list(raw.values()))
+    sd = np.std([r[5] for r in rows if r[2] in "AB" and r[5] is not None])
+    for (t, s), r in got.items():
+        assert r.spread == raw[t, s] and r.spread_bps == pytest.approx(np.clip((raw[t, s] - m) / d, -10, 10)) and r.day == t // 8
+        own = by.get((t, s))
+        assert r.present == (own is not None) and r.stale == (by[t, "C"][8] if s == "ES" else float(own is None))
+        assert r.ret == (by[t, "C"][6] if s == "ES" else own[3] if own else 0.0)
+        y = own[5] if own else None
+        assert r.target_valid == (y is not None) and r.y == pytest.approx(np.clip((y or 0.0) / sd, -8, 8)) and r.y_raw == (y or 0.0)
+        assert (r.liquidity, r.residual, r.kind) == (1.0, 0.0, "macro" if s == "ES" else "equity")
+    test = prepare_split(df.where("date = '2024-01-02'"), ["spread_bps"], ["y"], ["A", "B"], ["ES"], split.feature_stats, split.scales).panel
+    assert {r.spread_bps for r in test.where("node = 'ES'").collect()} == {got[t, "ES"].spread_bps for t in range(8, 16)}
+    sectors = spark.createDataFrame([("A", 0), ("B", 0)], "node string, sector int")
+    edges = split_graphs(split.panel, sectors, 3).toPandas()
+    assert set(edges["te"]) == {2, 3, 4, 5, 10, 11, 12, 13}
+    one = edges[(edges["te"] == 5) & (edges["src"] == "B") & (edges["dst"] == "A")].iloc[0]
+    x, y = (np.array([got[t, s].ret for t in range(6)]) for s in "AB")
+    assert one["rel"] == GR.SECTOR and one["corr"] == pytest.approx(np.cov(x, y)[0, 1] / (x.std() * y.std()))
+    alone = split_graphs(split.panel, sectors, 3, ablate=True).collect()
+    assert len(alone) == 8 * 3 and all(r.src == r.dst and r.rel == GR.SELF and r.corr == 0.0 for r in alone)
+    assert prepare_split(df.limit(0), ["spread_bps"], ["y"], ["A", "B"], ["ES"]).panel.count() == 0
+
+
+def test_windows_without_rows_have_self_loops(spark):
+    _, p = _graph_panel(spark)
+    nodes = spark.createDataFrame([(n, "equity", 0) for n in "abcm"], "node string, kind string, sector int")
+    ends = spark.createDataFrame([(50, 40, 40), (900, 890, 890)], "te long, lo_300 long, lo_1800 long")
+    edges = GR.dynamic_edges(p, nodes, ends).where("te = 900").collect()
+    assert {(r.src, r.dst, r.rel, r.corr) for r in edges} == {(n, n, GR.SELF, 0.0) for n in "abcm"}

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from tidebook.operators.features import model_columns
 from tidebook.operators.targets import HORIZONS, TARGETS
 from tidebook.plans import walk_forward as WF
-from tidebook.plans.dataset import build_dataset, featured
+from tidebook.plans.dataset import barred, build_dataset, featured
 from tidebook.sources.cache import build_cache, read_days
 from tidebook.sources.ticks import files_for_days, list_days, read_ticks
 
@@ -51,14 +51,15 @@ def main(argv: list[str] | None = None) -> str:
     sources = dict(s.split("=", 1) for s in a.source)
 
     def day(d: str):
-        of = lambda pattern: featured(read_ticks(spark, files_for_days(spark, pattern, [d])).withColumn("ts_us", _micros()), 1_000_000)
+        read = lambda pattern: read_ticks(spark, files_for_days(spark, pattern, [d])).withColumn("ts_us", _micros())
+        of = lambda pattern: featured(read(pattern), 1_000_000)
         macros = {}
         for name, pattern in sources.items():
             try:
                 macros[name] = of(pattern)
             except FileNotFoundError as e:
                 print(f"warning: {name}: {e}")
-        return build_dataset(of(a.equities), macros, warm_up_seconds=a.warmup_seconds, session=None if a.include_extended else tuple(a.session))
+        return build_dataset(of(a.equities), macros, warm_up_seconds=a.warmup_seconds, session=None if a.include_extended else tuple(a.session), times=barred(read(a.equities), 1_000_000))
 
     build_cache(spark, list_days(spark, a.equities), day, a.cache, a.rebuild_cache)
     df = read_days(spark, a.cache)

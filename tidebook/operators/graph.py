@@ -49,21 +49,37 @@ def pair_stats(panel: DataFrame, ends: DataFrame, low: str, lag: int, prefix: st
     return out.select("te", "i", "j", "n", f"{prefix}corr", f"{prefix}beta", f"{prefix}vol_ratio", F.when(F.col("m") >= 2, F.coalesce("__ll", F.lit(0.0))).otherwise(0.0).alias(f"{prefix}ll"))
 
 
+def whole_windows(panel: DataFrame, seq: int = 1) -> DataFrame:
+    """(te): the row indices that end a window: the last ``seq`` rows lie in the day, and some row there is ``valid``
+    where ``panel`` (ti, day) has that column."""
+    valid = F.coalesce("valid", F.lit(False)) if "valid" in panel.columns else F.lit(True)
+    times = panel.groupBy("ti", "day").agg(F.max(valid).alias("valid"))
+    days = times.groupBy("day").agg(F.min("ti").alias("ds"))
+    return times.join(F.broadcast(days), "day").where((F.col("ti") - F.col("ds") >= seq - 1) & F.col("valid")).select(F.col("ti").cast("long").alias("te"))
+
+
+def self_loops(ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every node's edge to itself at every window end, its attributes 0."""
+    loops = ends.select("te").crossJoin(F.broadcast(nodes.select("node").distinct()))
+    return loops.select("te", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(SELF).alias("rel"), *[F.lit(0.0).alias(a) for a in ATTRIBUTES])
+
+
 def every_end_stats(panel: DataFrame, back: int, lag: int, prefix: str, seq: int = 1, block: int = 512) -> DataFrame:
-    """``pair_stats`` of every row index as a window end whose last ``seq`` rows lie in its day; lookbacks of ``back``
-    rows are clipped at the day's start. ``panel`` (ti, day, node, ret) has every node at every time.
+    """``pair_stats`` of every row index as a window end that ``whole_windows`` lists; lookbacks of ``back`` rows are
+    clipped at the day's start. ``panel`` (ti, day, node, ret, valid if any) has every node at every time.
 
     A row goes to each block of ends that its windows reach, and a kernel takes one block of a day: at most
     ``back + block`` times, however long the day or the table."""
     days = panel.groupBy("day").agg(F.min("ti").alias("ds"), F.max("ti").alias("de"))
     reach = F.sequence(F.floor(F.col("ti") / block), F.floor(F.least(F.col("ti") + back, "de") / block))
-    rows = panel.join(F.broadcast(days), "day").select("day", "ds", F.explode(reach).alias("__b"), F.col("ti").cast("long").alias("ti"), "node", F.col("ret").cast("double").alias("ret"))
+    valid = F.coalesce("valid", F.lit(False)) if "valid" in panel.columns else F.lit(True)
+    rows = panel.join(F.broadcast(days), "day").select("day", "ds", F.explode(reach).alias("__b"), F.col("ti").cast("long").alias("ti"), "node", F.col("ret").cast("double").alias("ret"), valid.alias("valid"))
     names = ["n", *[prefix + c for c in ("corr", "beta", "vol_ratio", "ll")]]
 
     def stats(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         wide = part.pivot(index="ti", columns="node", values="ret")
         ti, nodes, r, start = wide.index.to_numpy(), wide.columns.to_numpy(), wide.to_numpy(), int(part["ds"].iloc[0])
-        ends = ti[(ti // block == key[1]) & (ti - start >= seq - 1)]
+        ends = ti[(ti // block == key[1]) & (ti - start >= seq - 1) & np.isin(ti, part["ti"][part["valid"]])]
         got = [_window_stats(r[np.searchsorted(ti, max(start, te - back)) : np.searchsorted(ti, te) + 1], lag) for te in ends]
         size = len(nodes) ** 2
         out = {"te": np.repeat(ends, size), "i": np.tile(np.repeat(nodes, len(nodes)), len(ends)), "j": np.tile(nodes, len(nodes) * len(ends))}
@@ -114,12 +130,14 @@ def prune(edges: DataFrame, k: int) -> DataFrame:
 
 
 def dynamic_edges(panel: DataFrame, nodes: DataFrame, ends: DataFrame | None, threshold: float = 0.2, top_k: int = 8, market: str | None = None, lag: int = 5, slow_lag: int = 30, short: str = "lo_300", long: str = "lo_1800", ablate: bool = False, seq: int = 1) -> DataFrame:
-    """(te, src, dst, rel, attributes) for each window end; without ``ends`` for every one whose last ``seq`` rows lie
-    in its day.
+    """(te, src, dst, rel, attributes) for each window end; without ``ends`` for every one that ``whole_windows`` lists.
 
     panel: (ti, node, ret), and day without ``ends``; nodes: (node, kind "equity" or "macro", sector) and, joined by node and te where given,
     spread, liquidity and residual. Without ``long`` rows over 30 the slow statistics are the fast ones. ``ablate``
-    leaves self-loops alone."""
+    gives ``self_loops`` alone, and so has a window without rows."""
+    if ablate:
+        return self_loops(whole_windows(panel, seq) if ends is None else ends, nodes)
+
     def stats(low: str, later: int, prefix: str) -> DataFrame:
         return every_end_stats(panel, int(low.removeprefix("lo_")), later, prefix, seq) if ends is None else pair_stats(panel, ends, low, later, prefix)
 
@@ -143,10 +161,14 @@ def dynamic_edges(panel: DataFrame, nodes: DataFrame, ends: DataFrame | None, th
     sector = equity_i & (F.col("kind_j") == "equity") & (F.col("sector_i") == F.col("sector_j")) & (F.col("i") != F.col("j"))
     of_market = (F.col("j") == F.lit(market)) & equity_i & (F.col("i") != F.col("j")) if market is not None else F.lit(False)
     macro = equity_i & (F.col("kind_j") == "macro")
-    rel = F.when(F.col("i") == F.col("j"), SELF) if ablate else relation(threshold, F.coalesce(sector, F.lit(False)), of_market, macro)
+    rel = relation(threshold, F.coalesce(sector, F.lit(False)), of_market, macro)
     pairs = pairs.withColumns({"rel": rel, "abs_corr": F.abs("corr"), "spread_z": ratio("spread"), "liq_ratio": ratio("liquidity"), "res_z": (F.col("residual_i") - F.col("residual_j")) if "residual" in few else F.lit(0.0), "macro_leadlag": F.col("lead_lag_5s")})
     edges = prune(pairs.where(F.col("rel").isNotNull()), top_k) if top_k else pairs.where(F.col("rel").isNotNull())
-    return edges.select("te", F.col("j").alias("src"), F.col("i").alias("dst"), "rel", *[finite_or(F.col(a).cast("double"), 0.0, 10.0, -10.0).alias(a) for a in ATTRIBUTES])
+    edges = edges.select("te", F.col("j").alias("src"), F.col("i").alias("dst"), "rel", *[finite_or(F.col(a).cast("double"), 0.0, 10.0, -10.0).alias(a) for a in ATTRIBUTES])
+    if ends is None:
+        return edges
+    # a window that covers none of the panel's rows
+    return edges.unionByName(self_loops(ends.join(panel.select(F.col("ti").alias("te")).distinct(), "te", "left_anti"), nodes))
 
 
 def sector_pairs(nodes: DataFrame, sector: str = "sector", node: str = "node") -> DataFrame:

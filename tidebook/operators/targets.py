@@ -49,5 +49,5 @@ def seasonality(df: DataFrame, time: str = "ts_event") -> DataFrame:
     df = df.crossJoin(F.broadcast(ends))  # one row
     frac = F.least(F.greatest((F.col("__tod") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)), F.lit(0.0)), F.lit(1.0))
     angle = frac * F.lit(6.283185307179586)
-    near = (F.col("__tod") - F.col("__lo") <= 300) | (F.col("__hi") - F.col("__tod") <= 300)
+    near = (F.col("__tod") - F.col("__lo") < 300) | (F.col("__hi") - F.col("__tod") < 300)
     return df.withColumns({"tod_sin": F.sin(angle), "tod_cos": F.cos(angle), "frac_open": frac, "frac_close": F.lit(1.0) - frac, "auction": near.cast("double")}).drop("__tod", "__lo", "__hi")

@@ -18,13 +18,19 @@ from tidebook.sources.ticks import clean_ticks
 SOURCES = ("ES", "NQ", "CL", "BZ", "NG", "GC", "SI", "HG")
 
 
+def barred(ticks: DataFrame, width_us: int, keys: Sequence[str] = ("ts_event", "symbol", "sequence"), scale: bool = True, time_us="ts_us") -> DataFrame:
+    """Clean ticks as dense bars."""
+    return make_bars(clean_ticks(ticks, keys, scale), width_us, time_us=time_us)
+
+
 def featured(ticks: DataFrame, width_us: int, keys: Sequence[str] = ("ts_event", "symbol", "sequence"), scale: bool = True, time_us="ts_us") -> DataFrame:
     """Clean ticks, dense bars, features over the whole session."""
-    return extract_features(make_bars(clean_ticks(ticks, keys, scale), width_us, time_us=time_us))
+    return extract_features(barred(ticks, width_us, keys, scale, time_us))
 
 
-def build_dataset(equities: DataFrame, sources: Mapping[str, DataFrame], width_us: int = 1_000_000, warm_up_seconds: int = 900, session: tuple[int, int] | None = (48600, 72000), horizons=HORIZONS) -> DataFrame:
-    """The modelling table of feature frames (see ``featured``).
+def build_dataset(equities: DataFrame, sources: Mapping[str, DataFrame], width_us: int = 1_000_000, warm_up_seconds: int = 900, session: tuple[int, int] | None = (48600, 72000), horizons=HORIZONS, times: DataFrame | None = None) -> DataFrame:
+    """The modelling table of feature frames (see ``featured``). ``times`` (date, ts_event), where given, has at least
+    the equities' times, so that these frames aren't computed again for them.
 
     Warm-up and session filters come after the features, so windows are warm, and before the targets, so no target
     sees beyond the session. Each source's model columns are joined as of each row; missing source values become 0;
@@ -37,7 +43,7 @@ def build_dataset(equities: DataFrame, sources: Mapping[str, DataFrame], width_u
     targets = [c for c in df.columns if c in TARGETS or c.startswith("ret_") and c.endswith("s") and c not in ("ret_bps",)]
     for prefix, frame in sources.items():
         columns = model_columns(frame.columns)
-        df = asof_join(df, frame, prefix, columns)
+        df = asof_join(df, frame, prefix, columns, times=times)
         df = df.withColumns({f"{prefix}_{c}": F.coalesce(F.nanvl(f"{prefix}_{c}", F.lit(0.0)), F.lit(0.0)) for c in columns})
     return df.where(not_null([*base, *targets]))
 

@@ -24,6 +24,7 @@ from tidebook.operators import trajectories as TR
 from tidebook.operators.asof import asof_join
 from tidebook.operators.kalman import with_kalman
 from tidebook.plans.dataset import build_dataset
+from tidebook.plans.split import prepare_split, split_graphs
 from tidebook.plans.ticks import BARS_SQL, BOOK, DENSE_SQL, FLOW_NAMES, WIDTH_US, micros, table, ticks
 from tidebook.sources.cache import written
 from tidebook.sources.ticks import latest_per_key
@@ -302,9 +303,9 @@ def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEASON = "CASE WHEN hi > lo THEN least(greatest((tod - lo) / greatest(hi - lo, 1)::DOUBLE, 0.0), 1.0) ELSE 0.0 END"
 
 
-@query(f"WITH {BARS_SQL}, t AS (SELECT symbol, ts_event, (ts_event // 1000000) % 86400 AS tod FROM bars), e AS (SELECT min(tod) AS lo, max(tod) AS hi FROM t) SELECT symbol, ts_event, {r(f'sin(({_SEASON}) * 6.283185307179586)', 6, 'tod_sin')}, {r(_SEASON, 6, 'frac_open')}, {r(f'1.0 - ({_SEASON})', 6, 'frac_close')}, {r('(tod - lo <= 300 OR hi - tod <= 300)::INT', 6, 'auction')} FROM t, e")
+@query(f"WITH {BARS_SQL}, t AS (SELECT symbol, ts_event, (ts_event // 1000000) % 86400 AS tod FROM bars), e AS (SELECT min(tod) AS lo, max(tod) AS hi FROM t) SELECT symbol, ts_event, {r(f'sin(({_SEASON}) * 6.283185307179586)', 6, 'tod_sin')}, {r(f'cos(({_SEASON}) * 6.283185307179586)', 6, 'tod_cos')}, {r(_SEASON, 6, 'frac_open')}, {r(f'1.0 - ({_SEASON})', 6, 'frac_close')}, {r('(tod - lo < 300 OR hi - tod < 300)::INT', 6, 'auction')} FROM t, e")
 def seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(TG.seasonality(B.aggregate_bars(ticks(spark, sf_dir), WIDTH_US, columns=BOOK)), ["tod_sin", "frac_open", "frac_close", "auction"])
+    return out(TG.seasonality(B.aggregate_bars(ticks(spark, sf_dir), WIDTH_US, columns=BOOK)), ["tod_sin", "tod_cos", "frac_open", "frac_close", "auction"])
 
 
 _FOLD = f"""{BARS_SQL}, t AS (SELECT ts_event, row_number() OVER (ORDER BY ts_event) - 1 AS i FROM (SELECT DISTINCT ts_event FROM bars)), n AS (SELECT count(*) AS n FROM t),
@@ -490,6 +491,42 @@ def sector_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GR.sector_pairs(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey")
 
 
+_LEADS = "lead(mid_price, {0}) OVER (PARTITION BY symbol, date ORDER BY ts_event)"
+_SPLIT = f"""{MID_SQL}, future AS (SELECT ts_event, ret_bps, spread_bps FROM f2 WHERE symbol = 'S7'),
+own AS (SELECT symbol, date, ts_event, ret_bps, spread_bps, {_LEADS.format(2)} / nullif({_LEADS.format(1)}, 0) - 1 AS near, {_LEADS.format(4)} / nullif({_LEADS.format(2)}, 0) - 1 AS far FROM f2 WHERE symbol <> 'S7'),
+d AS MATERIALIZED (SELECT o.*, m.ret_bps AS m_ret, m.spread_bps AS m_spread, (coalesce((o.ts_event - m.ts_event) // 1000, 999999) > 5000)::INT AS m_stale FROM own o ASOF LEFT JOIN future m ON o.ts_event >= m.ts_event),
+times AS MATERIALIZED (SELECT ts_event, row_number() OVER (ORDER BY ts_event) - 1 AS ti, dense_rank() OVER (ORDER BY date) - 1 AS day FROM (SELECT DISTINCT ts_event, date FROM d)),
+names AS (SELECT DISTINCT symbol FROM d WHERE symbol <> 'S6'),
+node0 AS MATERIALIZED (SELECT t.*, n.symbol AS node, x.ts_event IS NOT NULL AS present, (x.ts_event IS NULL)::INT AS stale, coalesce(last_value(x.ret_bps IGNORE NULLS) OVER w, 0.0) AS a, coalesce(last_value(x.spread_bps IGNORE NULLS) OVER w, 0.0) AS b, coalesce(x.ret_bps, 0.0) AS ret, near, far
+  FROM times t CROSS JOIN names n LEFT JOIN d x ON x.ts_event = t.ts_event AND x.symbol = n.symbol WINDOW w AS (PARTITION BY n.symbol ORDER BY t.ti ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT t.*, 'ES', FALSE, m_stale, m_ret, m_spread, coalesce(m_ret, 0.0), NULL, NULL FROM times t JOIN (SELECT ts_event, min(m_stale) AS m_stale, min(m_ret) AS m_ret, min(m_spread) AS m_spread FROM d GROUP BY ts_event) USING (ts_event)),
+fs AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM node0), ts_ AS (SELECT stddev_pop(near) AS sn, stddev_pop(far) AS sf FROM node0 WHERE present AND near IS NOT NULL AND far IS NOT NULL),
+e AS (SELECT min(tod) AS lo, max(tod) AS hi FROM (SELECT (ts_event // 1000000) % 86400 AS tod FROM times)), t AS (SELECT *, (ts_event // 1000000) % 86400 AS tod FROM node0)"""
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = mids(spark, sf_dir).select("symbol", "date", "ts_event", "mid_price", "ret_bps", "spread_bps")
+    equities = TG.with_targets(df.where("symbol <> 'S7'"), horizons=((0, 1), (1, 3)), width_us=WIDTH_US)
+    joined = asof_join(equities, df.where("symbol = 'S7'"), "ES", ["ret_bps", "spread_bps"])
+    return prepare_split(joined, ["ret_bps", "spread_bps"], ["ret_0_1s", "ret_1_3s"], [f"S{i}" for i in range(6)], ["ES"]).panel
+
+
+@query(f"""WITH {_SPLIT} SELECT node, ts_event, ti, day, present::INT AS present, stale::INT AS stale, {r(f'cos(({_SEASON}) * 6.283185307179586)', 6, 'tod_cos')}, {r(_SEASON, 6, 'frac_open')}, (tod - lo < 300 OR hi - tod < 300)::INT AS auction,
+{r('CASE WHEN a IS NULL THEN 0.0 ELSE least(greatest((a - ma) / sa, -10.0), 10.0) END', 4, 'ret_bps')}, {r('CASE WHEN b IS NULL THEN 0.0 ELSE least(greatest((b - mb) / sb, -10.0), 10.0) END', 4, 'spread_bps')}, {r('ret', 4)}, {r('coalesce(b, 0.0)', 5, 'spread')}, {r('CASE WHEN near IS NULL THEN 0.0 ELSE least(greatest(near / sn, -8.0), 8.0) END', 4, 'near')}, {r('CASE WHEN far IS NULL THEN 0.0 ELSE least(greatest(far / sf, -8.0), 8.0) END', 4, 'far')},
+(present AND near IS NOT NULL AND far IS NOT NULL)::INT AS target_valid FROM t, e, fs, ts_""")
+def split_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _split(spark, sf_dir).withColumnsRenamed({"ret_0_1s": "near", "ret_1_3s": "far"})
+    four = [rounded(c, 4).alias(c) for c in ("ret_bps", "spread_bps", "ret", "near", "far")]
+    return s.select("node", "ts_event", F.col("ti").cast("long"), F.col("day").cast("long"), *[F.col(c).cast("int").alias(c) for c in ("present", "stale", "auction", "target_valid")], rounded("tod_cos").alias("tod_cos"), rounded("frac_open").alias("frac_open"), *four, rounded("spread", 5).alias("spread"))
+
+
+@query(f"WITH {_SPLIT}, whole AS (SELECT ti AS te FROM (SELECT ti, day, bool_or(present AND near IS NOT NULL AND far IS NOT NULL) AS valid FROM node0 GROUP BY ALL) JOIN (SELECT day, min(ti) AS ds FROM times GROUP BY day) USING (day) WHERE valid AND ti - ds >= 3) SELECT te, count(*) AS n_loops FROM whole CROSS JOIN (SELECT DISTINCT node FROM node0) GROUP BY te")
+def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window ends of a split at sequence length 4, by their ablated graphs."""
+    s = written(_split(spark, sf_dir), "windows")
+    return split_graphs(s, s.select("node", F.lit(0).alias("sector")).distinct(), 4, ablate=True).groupBy("te").agg(F.count(F.lit(1)).alias("n_loops"))
+
+
 # ---- metrics, simulators ------------------------------------------------------------------------------------
 
 _SCORE = f"{MID_SQL}, sc AS (SELECT symbol, date, ts_event, (bid_sz_00 - ask_sz_00) / (bid_sz_00 + ask_sz_00) AS p, lead(mid_price, 2) OVER ({WIN}) / nullif(mid_price, 0) - 1 AS y, spread_bps / 2e4 AS half_spread FROM f2)"

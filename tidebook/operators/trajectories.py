@@ -23,32 +23,52 @@ def with_trajectories(bars: DataFrame, feature: str, window: int, onset: int, ke
     return got.withColumn("traj", F.when(early, F.concat(pad, values)).otherwise(F.concat(values, pad))).drop("__t", "__place")
 
 
+def _finite(traj: Column) -> Column:
+    return F.filter(traj, lambda v: v.isNotNull() & ~F.isnan(v))
+
+
 def _points(traj: Column, dt: float) -> Column:
     """The finite values as (x = time, v)."""
     pairs = F.transform(traj, lambda v, i: F.struct((i.cast("double") * F.lit(dt)).alias("x"), v.alias("v")))
     return F.filter(pairs, lambda p: p["v"].isNotNull() & ~F.isnan(p["v"]))
 
 
-def _total(points: Column, f) -> Column:
-    return F.aggregate(points, F.lit(0.0), lambda acc, p: acc + f(p))
+def _moments(traj: Column, dt: float) -> Column:
+    """One pass over the points: their number n, sums s1..s4 of powers of x, and v0..v2 of v times powers of x."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "v0", "v1", "v2")])
 
+    def add(acc: Column, p: Column) -> Column:
+        x, v = p["x"], p["v"]
+        terms = {"n": F.lit(1.0), "s1": x, "s2": x * x, "s3": x * x * x, "s4": x * x * x * x, "v0": v, "v1": x * v, "v2": x * x * v}
+        return F.struct(*[(acc[c] + t).alias(c) for c, t in terms.items()])
 
-def slope(traj: str | Column, dt: float = 0.05) -> Column:
-    """Least-squares slope a second; at least 4 points."""
-    p = _points(col(traj), dt)
-    n = F.size(p).cast("double")
-    sx, sy = _total(p, lambda q: q["x"]), _total(p, lambda q: q["v"])
-    sxy, sxx = _total(p, lambda q: q["x"] * q["v"]), _total(p, lambda q: q["x"] * q["x"])
-    base = n * sxx - sx * sx
-    return F.when((n >= 4) & (base > 1e-12), safe_div(n * sxy - sx * sy, base))
+    return F.aggregate(_points(traj, dt), zero, add)
 
 
-def curvature(traj: str | Column, dt: float = 0.05) -> Column:
-    """Second-degree coefficient of the least-squares parabola; at least 5 points."""
-    p = _points(col(traj), dt)
-    n = F.size(p).cast("double")
-    s1, s2, s3, s4 = (_total(p, lambda q, k=k: F.pow(q["x"], F.lit(float(k)))) for k in (1, 2, 3, 4))
-    v0, v1, v2 = (_total(p, lambda q, k=k: F.pow(q["x"], F.lit(float(k))) * q["v"]) for k in (0, 1, 2))
+def _steps(traj: Column) -> Column:
+    v = _finite(traj)
+    rest = F.greatest(F.size(v) - 1, F.lit(0))
+    return F.zip_with(F.slice(v, 2, rest), F.slice(v, 1, rest), lambda b, a: b - a)
+
+
+def _walk(traj: Column) -> Column:
+    """One pass over the steps between finite values: their number n, how many rise, their sum and path length."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "up", "net", "path")])
+
+    def add(acc: Column, d: Column) -> Column:
+        terms = {"n": F.lit(1.0), "up": F.when(d > 0, 1.0).otherwise(0.0), "net": d, "path": F.abs(d)}
+        return F.struct(*[(acc[c] + t).alias(c) for c, t in terms.items()])
+
+    return F.aggregate(_steps(traj), zero, add)
+
+
+def _slope(m: Column) -> Column:
+    base = m["n"] * m["s2"] - m["s1"] * m["s1"]
+    return F.when((m["n"] >= 4) & (base > 1e-12), safe_div(m["n"] * m["v1"] - m["s1"] * m["v0"], base))
+
+
+def _curvature(m: Column) -> Column:
+    n, s1, s2, s3, s4, v0, v1, v2 = (m[c] for c in ("n", "s1", "s2", "s3", "s4", "v0", "v1", "v2"))
     # determinants of the normal equations, expanded by the first column
     a, b, c = s2 * n - s1 * s1, s3 * n - s1 * s2, s3 * s1 - s2 * s2
     whole = s4 * a - s3 * b + s2 * c
@@ -56,43 +76,50 @@ def curvature(traj: str | Column, dt: float = 0.05) -> Column:
     return F.when((n >= 5) & (F.abs(whole) >= 1e-18), safe_div(part, whole))
 
 
-def _values(traj: Column) -> Column:
-    return F.filter(traj, lambda v: v.isNotNull() & ~F.isnan(v))
+def _drift(w: Column, steps: Column) -> Column:
+    mean = safe_div(w["net"], w["n"])
+    var = safe_div(F.aggregate(steps, F.lit(0.0), lambda a, d: a + (d - mean) * (d - mean)), w["n"])
+    return F.when((w["n"] >= 5) & (var > 1e-24), safe_div(F.abs(w["net"]), F.sqrt(var)))
 
 
-def _steps(traj: Column) -> Column:
-    v = _values(traj)
-    n = F.size(v)
-    return F.when(n >= 2, F.zip_with(F.slice(v, 2, F.greatest(n - 1, F.lit(0))), F.slice(v, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)).otherwise(F.array().cast("array<double>"))
+def slope(traj: str | Column, dt: float = 0.05) -> Column:
+    """Least-squares slope a second; at least 4 points."""
+    return _slope(_moments(col(traj), dt))
+
+
+def curvature(traj: str | Column, dt: float = 0.05) -> Column:
+    """Second-degree coefficient of the least-squares parabola; at least 5 points."""
+    return _curvature(_moments(col(traj), dt))
 
 
 def net_change(traj: str | Column) -> Column:
-    v = _values(col(traj))
+    v = _finite(col(traj))
     return F.when(F.size(v) >= 2, F.try_element_at(v, F.lit(-1)) - F.try_element_at(v, F.lit(1)))
 
 
 def monotonicity(traj: str | Column) -> Column:
     """Share of rising steps; at least 5 steps."""
-    d = _steps(col(traj))
-    return F.when(F.size(d) >= 5, safe_div(F.size(F.filter(d, lambda x: x > 0)), F.size(d)))
+    w = _walk(col(traj))
+    return F.when(w["n"] >= 5, safe_div(w["up"], w["n"]))
 
 
 def efficiency(traj: str | Column) -> Column:
     """Net move over the path's length; at least 5 steps, null for a path that never moves."""
-    d = _steps(col(traj))
-    net, path = F.aggregate(d, F.lit(0.0), lambda a, x: a + x), F.aggregate(d, F.lit(0.0), lambda a, x: a + F.abs(x))
-    return F.when((F.size(d) >= 5) & (path > 0), safe_div(F.abs(net), path))
+    w = _walk(col(traj))
+    return F.when((w["n"] >= 5) & (w["path"] > 0), safe_div(F.abs(w["net"]), w["path"]))
 
 
 def drift_vol(traj: str | Column) -> Column:
     """Net move over the steps' population deviation; at least 5 steps that vary."""
-    d = _steps(col(traj))
-    n = F.size(d).cast("double")
-    net = F.aggregate(d, F.lit(0.0), lambda a, x: a + x)
-    mean = safe_div(net, n)
-    var = safe_div(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)), n)
-    return F.when((n >= 5) & (var > 1e-24), safe_div(F.abs(net), F.sqrt(var)))
+    return _drift(_walk(col(traj)), _steps(col(traj)))
 
 
 def with_descriptors(df: DataFrame, traj: str = "traj", dt: float = 0.05) -> DataFrame:
-    return df.withColumns({"slope": slope(traj, dt), "curvature": curvature(traj, dt), "net_change": net_change(traj), "monotonicity": monotonicity(traj), "efficiency": efficiency(traj), "drift_vol": drift_vol(traj)})
+    """All six descriptors; moments and steps are columns of a projection below, so each is taken once a row."""
+    m, w, d = F.col("__moments"), F.col("__walk"), F.col("__steps")
+    staged = df.withColumns({"__moments": _moments(col(traj), dt), "__walk": _walk(col(traj)), "__steps": _steps(col(traj))})
+    shapes = {
+        "slope": _slope(m), "curvature": _curvature(m), "net_change": net_change(traj), "monotonicity": F.when(w["n"] >= 5, safe_div(w["up"], w["n"])),
+        "efficiency": F.when((w["n"] >= 5) & (w["path"] > 0), safe_div(F.abs(w["net"]), w["path"])), "drift_vol": _drift(w, d),
+    }
+    return staged.withColumns(shapes).drop("__moments", "__walk", "__steps")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.expr import repaired
+from tidebook.operators import network
 from tidebook.operators.graph import dynamic_edges
 from tidebook.operators.panel import dense_panel, forward_filled, scaled_targets, standardised, target_scales, time_index, train_stats
 from tidebook.operators.targets import seasonality
@@ -71,3 +72,20 @@ def split_graphs(split: DataFrame, sectors: DataFrame, seq: int, threshold: floa
     panel = split.select("ti", "day", "node", "ret", F.col("target_valid").alias("valid"))
     nodes = split.select(F.col("ti").alias("te"), "node", "kind", "spread", "liquidity", "residual").join(F.broadcast(sectors.select("node", "sector")), "node", "left")
     return dynamic_edges(panel, nodes, None, threshold, top_k, market, ablate=ablate, seq=seq)
+
+
+def graph_scores(fitted: Split, tested: Split, sectors: DataFrame, base: Sequence[str], targets: Sequence[str], seq: int = 30, hidden: int = 32, epochs: int = 3, batch: int = 16, seed: int = 0, **graphs) -> DataFrame | None:
+    """(te, node, horizon, score) for every equity at every window end of ``tested``, by a graph network trained on
+    ``fitted``; None with fewer than ``batch`` windows there. Scores are in training deviations of the targets."""
+    channels = [*CHANNELS, *base]
+    shape = network.Shape(len(channels), hidden, len(targets))
+
+    def rows(split: Split) -> DataFrame:
+        edges = written(split_graphs(split.panel, sectors, seq, **graphs), "graphs")
+        return network.windows(split.panel, edges, channels, targets, seq)
+
+    weights = network.train(rows(fitted), shape, epochs, batch, seed=seed)
+    if weights is None:
+        return None
+    equities = tested.panel.where("kind = 'equity'").select(F.col("ti").cast("long").alias("te"), "node")
+    return network.predict(rows(tested), shape, weights).join(equities, ["te", "node"])

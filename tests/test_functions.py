@@ -11,6 +11,7 @@ from tidebook.functions import windows as W
 from tidebook.functions.expr import clip, finite_or, not_null, repaired, rounded, safe_div, scaled_price, sum_of
 from tidebook.operators import formulas as G
 from tidebook.operators import trajectories as TR
+from tidebook.operators.features import prices, ranks
 
 DAY = dt.date(2024, 1, 2)
 
@@ -59,6 +60,21 @@ def test_average_rank(spark):
     assert got == {(5.0, 1.5, 0.125), (7.0, 3.0, -0.25), (None, None, None)}
 
 
+def test_average_rank_of_nulls(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, None), (1, 7.0), (1, None)], "ts_event int, x double")
+    for descending, five in ((False, 1.0), (True, 2.0)):
+        got = {(r.x, r.a, r.p) for r in df.select("x", W.average_rank("x", ["ts_event"], descending, nulls=True).alias("a"), W.percentile_rank("x", "ts_event", descending, nulls=True).alias("p")).collect()}
+        assert got == {(5.0, five, five / 4 - 0.5), (7.0, 3.0 - five, (3.0 - five) / 4 - 0.5), (None, 3.5, 0.375)}
+
+
+def test_spread_over_no_price_ranks_as_infinite(spark):
+    rows = [(1, "A", -0.01, 0.01), (1, "B", 1.0, 1.5), (1, "C", 2.0, 2.1), (1, "D", None, 2.0), (1, "E", 0.01, -0.01)]
+    df = prices(spark.createDataFrame([(*r, r[1]) for r in rows], "ts_event long, symbol string, bid_px_00 double, ask_px_00 double, date string"))
+    df = df.withColumns({c: F.lit(0.0) for c in ("ofi_raw_z180", "obi_L1", "cvd_60s_z180", "mom_60s")})
+    got = {r.symbol: r.rank_spread_bps for r in ranks(df).collect()}
+    assert got["D"] is None and {k: round((v + 0.5) * 5) for k, v in got.items() if v is not None} == {"E": 1, "C": 2, "B": 3, "A": 4}
+
+
 def test_weighted_statistics_match_pandas():
     x = np.random.default_rng(1).normal(100, 3, 500)
     x[:4] = np.nan

@@ -169,8 +169,9 @@ def z_scores(df: DataFrame) -> DataFrame:
 
 
 def ranks(df: DataFrame) -> DataFrame:
-    """Cross-sectional percentile ranks at each time."""
-    wanted = (("rank_ret_1s", "ret_bps", True), ("rank_ofi_z180", "ofi_raw_z180", True), ("rank_obi_L1", "obi_L1", True), ("rank_spread_bps", "spread_bps", False), ("rank_cvd_60s", "cvd_60s_z180", True), ("rank_mom_60s", "mom_60s", True))
+    """Cross-sectional percentile ranks at each time; a spread over a mid-price of 0 ranks as infinite."""
+    spread = F.when(_c("mid_price") == 0, (level("ask", "px", 0) - level("bid", "px", 0)) * math.inf).otherwise(_c("spread_bps"))
+    wanted = (("rank_ret_1s", "ret_bps", True), ("rank_ofi_z180", "ofi_raw_z180", True), ("rank_obi_L1", "obi_L1", True), ("rank_spread_bps", spread, False), ("rank_cvd_60s", "cvd_60s_z180", True), ("rank_mom_60s", "mom_60s", True))
     return df.withColumns({name: percentile_rank(c, descending=d) for name, c, d in wanted})
 
 

@@ -55,6 +55,29 @@ def test_pieces(text):
     assert t.decode(ids) == sp.decode(sp.encode(text))
 
 
+@pytest.mark.parametrize("most, together", [(1_000_000, 16_384), (50, 7)])
+def test_pieces_of_many_texts(most, together, monkeypatch):
+    """Words take the determinised arcs together; those are built once, and anew beyond a bound."""
+    from tidebook.llm import sentencepieces as S
+
+    monkeypatch.setattr(S, "MOST_ARCS", most)
+    monkeypatch.setattr(S, "TOGETHER", together)
+    monkeypatch.setattr(S, "MANY", 5)
+    sp, t, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), S.PieceTransducer(S.Model(PIECES)), random.Random(3)
+    t.composition._clear(4)  # a table that has to grow
+    letters = [*"aeinorsthd", "ing", "the", " ", " ", " ", "\n", "THE", ".", ",", "12", "é", "ß", "中", "🙂", "▁", "  ", "x" * 90]
+    texts = ["", " ", "a", "  a ", "▁", "中", "thé" * 2000, *("".join(rng.choice(letters) for _ in range(rng.randrange(120))) for _ in range(300))]
+    built, arc = [], t.composition._arc
+    monkeypatch.setattr(t.composition, "_arc", lambda *k: built.append(k) or arc(*k))
+    for _ in range(2):
+        assert [np.frombuffer(x, np.uint32).tolist() for x in t.encode_all(texts)] == sp.encode(texts)
+    assert len(set(built)) == len(built) if most > 50 else len(set(built)) < len(built)
+    assert len(t.composition.keys) >= 2 * t.composition.arcs == 2 * int((t.composition.keys >= 0).sum())
+    words = sorted({w for x in texts for w in S.WORDS.findall(t.normalise(x)) if len(w) <= S.LONG})
+    ids, counts = t._at_once(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.path(w) for w in words]
+
+
 def _message(number: int, value: bytes) -> bytes:
     size, out = len(value), bytes([number << 3 | 2])
     while size > 127:
